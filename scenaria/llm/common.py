@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The six characters `[\x20\x09-\x0D]` that count as white space in the contracts.
-WHITESPACE = " \t\n\v\f\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where the session does not name one (a local session, as in tests) is
-    a temporary folder made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="scenaria-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
+from ..storage import materialise, shared_dir
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back.
+__all__ = ["WHITESPACE", "let", "materialise", "shared_dir", "text_of", "tokenizer_path"]
 
-    Cuts the lineage, is computed once however often it is used, and outlives
-    lost executors, which a local checkpoint does not.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+#: The six characters `[\x20\x09-\x0D]` that count as white space in the contracts.
+WHITESPACE = " \t\n\v\f\r"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

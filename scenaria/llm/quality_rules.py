@@ -42,7 +42,7 @@ RULES = (
     Rule("few_words", f"n_words < {LEAST_WORDS}"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "n_symbols > 0.10 * word_chars"),
-    Rule("repeated_lines", "n_dup_lines > 0.30 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines > 0.60 * n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 40 * n_words"),
     Rule("shouting", "n_upper > 0.6 * n_letters"),

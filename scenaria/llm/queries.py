@@ -68,5 +68,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def _op2_sql() -> str:
+    ws = r"[\x20\x09-\x0D]+"
+    bits = " + ".join(f"CASE WHEN {r.failed} THEN {1 << k} ELSE 0 END" for k, r in enumerate(quality_rules.RULES))
+    fails = lambda name: f"(fail_bits & {quality_rules.mask(quality_rules.POLICIES[name])}) <> 0"
+    letters = lambda p: f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))"
+    return f"""WITH a AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT *, list_filter(regexp_split_to_array(t, '{ws}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM a),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM b WHERE len(w) >= 3),
+h AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM g),
+z AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM h),
+y AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM z WHERE n >= 2) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({letters('[^' + ws[1:])} AS BIGINT) AS word_chars, CAST({letters('[#*$%&|<>]+')} AS BIGINT) AS n_symbols,
+ CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(y.n, 0) AS BIGINT) AS n_repeat_words,
+ CAST({letters(chr(92) + 'p{Lu}+')} AS BIGINT) AS n_upper, CAST({letters(chr(92) + 'p{L}+')} AS BIGINT) AS n_letters, CAST({letters('[.!?。！？।؟]+')} AS BIGINT) AS n_stops FROM b LEFT JOIN y USING (r)),
+f AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {fails('base')} AS base_failed, NOT ({fails('base')} OR {fails('v1')}) AS kept, fail_bits FROM f"""
+
+
+def _op7_sql() -> str:
+    norm = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
+    return f"""WITH a AS (SELECT doc_id, {norm} AS norm, length(coalesce(text, '')) AS size FROM documents),
+b AS (SELECT *, row_number() OVER o AS place, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM a WINDOW o AS (PARTITION BY norm ORDER BY size DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM b"""
+
+
+def _op8_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({quoted(r.text)}, {quoted(r.action)}, {quoted(r.pattern)}, {len(r.text)}, {int(r.action == 'block')})" for r in url_filter.RULES)
+    rest = "substr(url, strpos(url, '://') + 3)"
+    return f"""WITH v(rule, action, pattern, size, blocks) AS (VALUES {rules}),
+a AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') ELSE '' END AS host,
+ CASE WHEN strpos(url, '://') > 0 THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+b AS (SELECT a.*, v.*, row_number() OVER (PARTITION BY a.r ORDER BY v.size DESC, v.blocks DESC, v.rule DESC) AS place FROM a LEFT JOIN v ON regexp_matches(a.host || a.path, v.pattern))
+SELECT page_id, host, path, nullif(rule, '') AS rule, coalesce(action, 'allow') AS verdict FROM b WHERE place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": _op2_sql(), "op7_exact_dedup": _op7_sql(), "op8_url_filters": _op8_sql()}

@@ -6,7 +6,9 @@ any URL it fits must contain whole. Tokens are runs of `[a-z0-9]` of the
 lower-cased host and path. Each rule is filed under that of its tokens which the
 fewest URLs contain; the tokens of a URL fetch candidate rules from this index,
 and only those run their expressions. Of the rules that fit, the one of the
-longest text wins (on a tie, block); where none fits, the verdict is `default`.
+longest text wins (on a tie, block). Rules without a text, such as those on words
+of a host, are not reported and give way to all others; where none fits, the
+verdict is `default`.
 A rule without a whole literal token is filed under the empty token, which every
 URL has.
 
@@ -46,20 +48,28 @@ def path_rule(action: str, text: str) -> Rule:
     # the last run of the path may go on in the URL, unless something follows it in the rule
     whole = re.sub(r"[A-Za-z0-9]+\Z", "", path)
     tokens = re.findall("[a-z0-9]+", host) + re.findall("[a-z0-9]+", whole.translate(str.maketrans(UPPER, LOWER)))
-    return Rule(action, text, rf"^(?:[^/]*\.)?{_quote(host)}{_quote(path) if path else '(?:/|$)'}", tuple(dict.fromkeys(tokens)))
+    return Rule(action, text, rf"^(?:[^/]*\.)?{_quote(host)}{_quote(path) if path else chr(40) + '?:/|' + chr(92) + 'z)'}", tuple(dict.fromkeys(tokens)))
 
 
 def _quote(literal: str) -> str:
     return re.sub(r"([^A-Za-z0-9/_-])", r"\\\1", literal)
 
 
-#: Fixed values of the contract.
+def host_word_rule(action: str, word: str) -> Rule:
+    """A word that stands by itself in the host."""
+    return Rule(action, "", rf"^(?:[^/]*[^a-z0-9/])?{word}(?:[^a-z0-9]|\z)", (word,))
+
+
+#: Words of hosts that deal in bets, drugs, advertising and the like.
+BAD_WORDS = ("casino", "casinos", "poker", "bet", "bets", "betting", "slots", "jackpot", "porn", "xxx", "adult", "escort", "escorts", "viagra", "cialis", "pills", "warez", "torrent", "torrents", "spam", "ads", "adserver", "malware", "phishing")
+#: Fixed values of the contract, then the method's own rules.
 RULES = (
     path_rule("allow", "org/"),
     path_rule("block", "example.org/es/"),
     path_rule("block", "example.org/en/1"),
     path_rule("allow", "com/fr/"),
     path_rule("block", "com/de/"),
+    *(host_word_rule("block", w) for w in BAD_WORDS),
 )
 
 
@@ -82,7 +92,7 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     fits = F.expr("pattern is not null and regexp_like(concat(host, path), pattern)")
     best = F.max(F.when(fits, F.struct("length", "blocks", "rule", "action"))).alias("best")
     judged = fetched.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best)
-    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return judged.select("page_id", "host", "path", F.when(F.col("best.rule") != "", F.col("best.rule")).alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def rule_index(spark: SparkSession, rules: tuple[Rule, ...], rows: DataFrame) -> DataFrame:
