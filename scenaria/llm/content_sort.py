@@ -44,10 +44,11 @@ def ranked_groups(docs: DataFrame, payload: list[str], id_col: str = "doc_id", t
     total = docs.count()
     bound = max(least_hot, int(total * hot_share) + 1)
     hot = [(r["sha"], r["n"], r["first"][2]) for r in sums.filter(F.col("n") >= bound).collect()] if total >= bound else []
-    is_hot = F.col("sha").isin([h[0] for h in hot]) if hot else F.lit(False)
-    salted = keyed.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int"))
-    dealt = salted.repartitionByRange("head", "sha", "salt").withColumn("norm", normalised(F.col("text"))).drop("text")
-    same = Window.partitionBy("head", "sha", "salt", "norm")
+    # a constant salt would stand in the way of matching the window with the range partitioning
+    keys = ["head", "sha", *(["salt"] if hot else [])]
+    salted = keyed.withColumn("salt", F.when(F.col("sha").isin([h[0] for h in hot]), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int")) if hot else keyed
+    dealt = salted.repartitionByRange(*keys).withColumn("norm", normalised(F.col("text"))).drop("text")
+    same = Window.partitionBy(*keys, "norm")
     order = same.orderBy(F.desc("size"), F.asc_nulls_last("doc_id"))
     runs = dealt.select("payload", "doc_id", "sha", F.row_number().over(order).alias("place"), F.first("doc_id").over(order).alias("lead"), F.count("*").over(same).alias("n"))
     kind = docs.schema[id_col].dataType.simpleString()
