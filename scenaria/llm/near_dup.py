@@ -14,9 +14,13 @@ alignment can reach the threshold), and the longest chain of them in both
 orders. Similarity is chain / (shingles of both - chain), at least 0.8.
 
 Identical texts are one node. Within a set of nodes that share a sketch, each is
-first compared with the set's leader only. After connected components, sets that
-still hold several components are settled exactly: their nodes are compared
-across components, and no link that shares a sketch is lost. Nothing is capped.
+first compared with the set's leader only: the node that meets most others over
+all its sets, which in a group of copies is the original. After connected
+components, sets that still hold several components are settled exactly: their
+nodes are compared across components, but for pairs that cannot be similar. For
+this, the shingles that a node shares with no other open node are counted; no
+partner can match them, which bounds the similarity of each pair from two
+numbers per node. No link that shares a sketch is lost, and nothing is capped.
 
 Null counts as empty. Texts without a word are joined only to identical ones.
 Ids may be null or repeated; the class id is the least id. No other column is
@@ -146,29 +150,46 @@ def _signatures(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, "node binary, n int, keys array<bigint>")
 
 
+def _texts(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, text, num (a number of its own) of the nodes listed. nodes: a table."""
+    chosen = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    found = rows.join(chosen, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return materialise(found.withColumn("num", F.monotonically_increasing_id()))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts align."""
-    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    chosen = F.broadcast(ends) if ends.count() <= BROADCAST_NODES else ends
-    texts = rows.join(chosen, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts)
+    texts = _texts(materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), rows)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Remembered(shingles, 0)
         last = ("", np.zeros(0, _U))
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.as_py(), y.as_py()
                 if last[0] != y:
-                    last = y, seen.work(y)
+                    last = y, shingles(y)
                 good.append(similarity(shingles(x), last[1], least) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a binary, b binary")
 
 
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """node, own: how many of its shingles stand in no other text of the table."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for num, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles(t.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(np.full(len(s), num), pa.int64())], ["shingle", "num"])
+
+    # shingles are distinct within a text, so a count is one of texts
+    once = texts.select("num", "text").mapInArrow(spell, "shingle bigint, num bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("num").alias("num")).filter("n = 1")
+    return texts.select("node", "num").join(once.groupBy("num").agg(F.count("*").alias("own")), "num").select("node", "own")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of edges (a, b).
 
@@ -191,17 +212,25 @@ def node_classes(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, Data
     """(node, root) of the linked nodes and the verified edges (a, b). rows: node, text."""
     signed = materialise(_signatures(rows).groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     each = signed.select("node", "n", F.posexplode("keys").alias("sketch", "key"))
-    sets = materialise(each.groupBy("sketch", "key").agg(F.min("node").alias("lead"), F.max("node").alias("other")).filter("lead != other").select("sketch", "key", "lead"))
+    sets = each.groupBy("sketch", "key").agg(F.min("node").alias("one"), F.max("node").alias("other"), F.count("*").alias("size")).filter("one != other").select("sketch", "key", "size")
     members = materialise(each.join(sets, ["sketch", "key"]))
-    first = materialise(members.filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    leads = members.join(weights, "node").groupBy("sketch", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+    first = materialise(members.join(leads, ["sketch", "key"]).filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
     edges = materialise(_verified(first, rows, least))
     roots = components(edges)
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_sets = placed.groupBy("sketch", "key").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r != q").select("sketch", "key")
-    still = materialise(placed.join(open_sets, ["sketch", "key"]).select("sketch", "key", "node", "n", "root"))
-    x, y = still.alias("x"), still.select("sketch", "key", F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("root").alias("root_y")).alias("y")
-    across = x.join(y, ["sketch", "key"]).filter((F.col("node") > F.col("node_y")) & (F.col("root") != F.col("root_y")) & (F.least("n", "n_y") >= least * F.greatest("n", "n_y")))
-    rest = materialise(across.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    still = materialise(_open(placed).select("sketch", "key", "node", "n", "root"))
+    own = _own_shingles(_texts(materialise(still.select("node").distinct()), rows))
+    # of a pair, at most n - own match, which bounds the other's n; all of it in integers of a millionth of slack
+    reach = F.floor((F.col("n") - F.coalesce("own", F.lit(0))) * F.lit((1 + least) / least) - F.col("n") + 1e-6)
+    reaching = still.join(own, "node", "left").withColumn("reach", reach)
+    lowest = reaching.groupBy("sketch", "key").agg(F.min("n").alias("low"))
+    able = materialise(_open(reaching.join(lowest, ["sketch", "key"]).filter("reach >= low")).select("sketch", "key", "node", "n", "root", "reach"))
+    y = able.select("sketch", "key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "reach")))
+    met = (F.col("node") > F.col("node_y")) & (F.col("root") != F.col("root_y")) & (F.col("n") <= F.col("reach_y")) & (F.col("n_y") <= F.col("reach")) & (F.least("n", "n_y") >= least * F.greatest("n", "n_y"))
+    across = able.join(y, ["sketch", "key"]).filter(met)
+    rest = materialise(across.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct().join(first.union(first.select("b", "a")), ["a", "b"], "left_anti"))
     more = materialise(_verified(rest, rows, least))
     if more.isEmpty():
         return roots, edges
@@ -209,6 +238,12 @@ def node_classes(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, Data
     return components(edges), edges
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of sets that hold several components."""
+    several = placed.groupBy("sketch", "key").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r != q").select("sketch", "key")
+    return placed.join(several, ["sketch", "key"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_links, kept.
 
