@@ -26,8 +26,8 @@ from ..storage import materialise
 #: States that are resolved on one machine.
 FEW = 1_000_000
 ROUNDS = 64
-#: Longest stretch whose weights are summed before they leave a task.
-CHUNK = 4_194_304
+#: States that a task holds before it sums them and lets them go.
+CHUNK = 1_048_576
 
 BASINS = "fp bigint, basin_size bigint"
 
@@ -91,8 +91,8 @@ def first_step(spark: SparkSession, model: Model, rule: Rule, first: int, last:
     space = Space(model)
     width = space.low if fast(rule) else 65_536
     tasks = int(max(1, min(-(-(last - first + 1) // width), 16 * spark.sparkContext.defaultParallelism)))
-    if (last - first + 1) // tasks > 64 * CHUNK:
-        tasks = (last - first + 1) // (64 * CHUNK)
+    if (last - first + 1) // tasks > 256 * CHUNK:
+        tasks = (last - first + 1) // (256 * CHUNK)
     edges = [first + (last + 1 - first) * k // tasks for k in range(tasks + 1)]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +100,14 @@ def first_step(spark: SparkSession, model: Model, rule: Rule, first: int, last:
             for k in b.column(0).to_pylist():
                 held, size = [], 0
                 for found in stretch(space, edges[k], edges[k + 1] - 1, rule):
-                    held.append(found)
-                    size += len(found)
+                    # starts that share their high part meet in few states: a small sort here spares a large one later
+                    held.append(np.unique(found, return_counts=True))
+                    size += len(held[-1][0])
                     if size >= CHUNK:
-                        yield _batch(*np.unique(np.concatenate(held), return_counts=True))
+                        yield _batch(*_summed(*map(np.concatenate, zip(*held, strict=True))))
                         held, size = [], 0
                 if held:
-                    yield _batch(*np.unique(np.concatenate(held), return_counts=True))
+                    yield _batch(*_summed(*map(np.concatenate, zip(*held, strict=True))))
 
     return spark.range(0, tasks, 1, tasks).mapInArrow(walk, "state bigint, weight bigint").groupBy("state").agg(F.sum("weight").alias("weight"))
 

@@ -9,6 +9,7 @@ descriptors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -43,11 +44,12 @@ class Space:
         wide = 4 * (len(model.sizes) + 1) * int(np.abs(model.matrix).max(initial=0))
         self.type = np.int16 if wide <= 32767 else np.int64
         low_digits = digits_of(np.arange(n), model)[:, :k]
-        self.low_digits = low_digits
+        self.owns = [low_digits[:, d].astype(np.int8 if model.sizes[d] < 128 else np.int64) for d in range(k)]
         scores = np.zeros((n, model.dimensions), np.int64)
         for d in range(k):
             scores += model.matrix[model.offsets[d] + low_digits[:, d]]
-        self.scores = np.ascontiguousarray(scores.T.astype(self.type))
+        self.rows = scores.astype(self.type)
+        self.scores = np.ascontiguousarray(self.rows.T)
 
     def __reduce__(self):
         return Space, (self.model,)
@@ -66,8 +68,13 @@ class Space:
         for d, (o, n) in enumerate(zip(self.model.offsets, self.model.sizes, strict=True)):
             block = self.scores[o : o + n] + high[o : o + n, None]
             if d < self.split:
-                own = self.low_digits[:, d]
-                mine = np.take_along_axis(block, own[None, :], 0)[0]
+                own = self.owns[d]
+                # the digit runs through its values in stretches of its place, so incumbents' scores are strided copies
+                mine = np.empty(self.low, self.type)
+                shape = -1, n, self.model.places[d]
+                to = mine.reshape(shape)
+                for v in range(n):
+                    to[:, v] = block[v].reshape(shape)[:, v]
             else:
                 own = high_digits[d - self.split]
                 mine = block[own]
@@ -83,7 +90,27 @@ class Space:
                 best = np.where(more, np.asarray(v, best.dtype), best)
                 top = np.maximum(top, block[v])
             moves = top - mine > margin
-            out += np.where(moves, best, own).astype(np.int64) * self.model.places[d]
+            out += np.multiply(np.where(moves, best, np.asarray(own, best.dtype)), self.model.places[d], dtype=np.int64)
+        return out
+
+    def moved(self, signatures: np.ndarray, margin: int = 0) -> np.ndarray:
+        """Successors of any signatures: a row of the low table and one of the high parts that occur, added."""
+        low, high = signatures % self.low, signatures // self.low
+        parts, back = np.unique(high, return_inverse=True)
+        table = np.stack([self.high(int(k))[1] for k in parts]) if len(parts) <= 4_096 else None
+        out = np.zeros(len(signatures), np.int64)
+        for a in range(0, len(signatures), 65_536):
+            at = slice(a, a + 65_536)
+            if table is None:
+                d = digits_of(signatures[at], self.model)
+                scores = sum((self.model.matrix[self.model.offsets[k] + d[:, k]] for k in range(self.split, len(self.model.sizes))), np.zeros((len(d), self.model.dimensions), np.int64)) + self.rows[low[at]]
+            else:
+                scores = self.rows[low[at]] + table[back[at]]
+            each = np.arange(len(scores))
+            for o, n, p in zip(self.model.offsets, self.model.sizes, self.model.places, strict=True):
+                block, own = scores[:, o : o + n], signatures[at] // p % n
+                best = block.argmax(axis=1)
+                out[at] += np.where(block[each, best] - block[each, own] > margin, best, own) * p
         return out
 
     def consistent(self, index: int, margin: int = 0) -> np.ndarray:
@@ -100,7 +127,14 @@ def fast(rule: Rule) -> bool:
     return isinstance(rule, Threshold)
 
 
+@lru_cache(4)
+def space_of(model: Model) -> Space:
+    return Space(model)
+
+
 def step_signatures(signatures: np.ndarray, model: Model, rule: Rule = GLOBAL) -> np.ndarray:
+    if fast(rule):
+        return space_of(model).moved(np.asarray(signatures, np.int64), rule.margin)
     return signatures_of(rule.step(digits_of(signatures, model), model), model)
 
 
