@@ -71,7 +71,7 @@ def ranked_basins(basins: DataFrame) -> DataFrame:
 def basin_csv(b: Basins) -> str:
     if len(b.sizes) > MOST_EXPORTED:
         raise ValueError(f"{len(b.sizes)} consistent scenarios are too many for one file; write frame() as Parquet")
-    head = f"# Cross-Impact Balances basin analysis\n# total scenarios,{b.starts}\n# consistent scenarios,{len(b.sizes)}\n# into-cycle starts,{b.cycle_count}\n"
+    head = f"# basins\n# total scenarios,{b.starts}\n# consistent scenarios,{len(b.sizes)}\n# into-cycle starts,{b.cycle_count}\n"
     rows = [csv_row(["rank", "signature", *b.model.descriptors, "basin_size", "basin_fraction_pct"])]
     for r in b.records():
         rows.append(csv_row([r["rank"], r["signature"], *(r[d] for d in b.model.descriptors), r["basin_size"], round(100 * r["basin_fraction"], 4)]))
@@ -106,7 +106,7 @@ def basin_text(b: Basins) -> str:
 def estimate_csv(e: BasinEstimate) -> str:
     p = lambda x: significant(100 * x, 4)
     rows = [
-        f"# Cross-Impact Balances basin-share estimate (exact kernel, sampled shares)\n# total scenarios,{e.scenario_count}\n# samples,{e.samples}\n# seed,{e.seed:#x}\n# confidence,{e.confidence}\n",
+        f"# estimated basin shares\n# total scenarios,{e.scenario_count}\n# samples,{e.samples}\n# seed,{e.seed:#x}\n# confidence,{e.confidence}\n",
         f"# cycle share pct,{p(e.cycle_share)},ci_low,{p(e.cycle_ci_low)},ci_high,{p(e.cycle_ci_high)}\n",
         csv_row(["rank", *e.model.descriptors, "hits", "share_pct", "ci_low_pct", "ci_high_pct", "estimated_size"]),
     ]
@@ -116,7 +116,7 @@ def estimate_csv(e: BasinEstimate) -> str:
 
 
 def estimate_text(e: BasinEstimate) -> str:
-    lines = [f"Exact kernel; estimated shares from {grouped(e.samples)} samples of {grouped(e.scenario_count)} scenarios (seed {e.seed:#x}, {100 * e.confidence:g}% intervals)"]
+    lines = [f"Estimated shares of an exact kernel from {grouped(e.samples)} samples of {grouped(e.scenario_count)} scenarios (seed {e.seed:#x}, {100 * e.confidence:g}% intervals)"]
     for k in sorted(range(len(e.hits)), key=lambda k: (-e.hits[k], k)):
         at = "/".join(e.model.names(e.fixed_points[k]).values())
         lines.append(f"  {at}: {percent(e.shares[k])} [{percent(e.ci_low[k])}, {percent(e.ci_high[k])}]" if e.hits[k] else f"  {at}: no hits — share ≤ {100 * e.ci_high[k]:.2g}%")
@@ -155,16 +155,16 @@ def scenario_text(g: TransitionGraph, node: int) -> str:
 
 def changes_text(g: TransitionGraph, e: Transition, separator: str = " + ") -> str:
     if not e.changes:
-        return "(no commitment — baseline)"
+        return "(its own course)"
     names, at = g.model.variants, g.nodes[e.source]
     return separator.join(f"{g.model.descriptors[d]}: {names[d][at[d]]}→{names[d][v]}" for d, v in e.changes)
 
 
 def transition_csv(g: TransitionGraph) -> str:
-    head = f"# Cross-Impact Balances transition graph (levers between futures)\n# total scenarios,{g.model.scenario_count()}\n# radius,{g.radius}\n"
+    head = f"# levers between scenarios\n# total scenarios,{g.model.scenario_count()}\n# radius,{g.radius}\n"
     rows = [csv_row(["from_index", "to_index", "to_kind", "steps", *g.model.descriptors, "commitment"])]
     for e in g.edges:
-        said = " + ".join(f"{g.model.descriptors[d]}={g.model.variants[d][v]}" for d, v in e.changes) or "(baseline — no commitment)"
+        said = " + ".join(f"{g.model.descriptors[d]}={g.model.variants[d][v]}" for d, v in e.changes) or "(its own course)"
         rows.append(csv_row([e.source + 1, e.target + 1, g.kinds[e.target], e.steps, *g.model.names(g.nodes[e.target]).values(), said]))
     return head + "".join(rows)
 
@@ -172,9 +172,9 @@ def transition_csv(g: TransitionGraph) -> str:
 def to_dot(g: TransitionGraph) -> str:
     """Graphviz: boxes with robustness, dashed ellipses for cycles, the world in bold, pairs dotted; nodes count from 1."""
     safe = lambda s: s.replace("\\", "\\\\").replace('"', '\\"')
-    shapes = {"world": 'shape=box, style="bold,rounded", penwidth=2', "cycle": "shape=ellipse, style=dashed", "attractor": "shape=box"}
+    shapes = {"world": 'shape=box, style="bold,rounded"', "cycle": "shape=ellipse, style=dashed", "attractor": "shape=box"}
     before = {"world": "current world\\n", "cycle": "cycle\\n", "attractor": ""}
-    lines = ["digraph transitions {", "  rankdir=LR;", '  node [fontname="Helvetica", fontsize=10];', '  edge [fontname="Helvetica", fontsize=9];']
+    lines = ["digraph levers {", "  rankdir=LR;"]
     for k, kind in enumerate(g.kinds):
         robust = f"\\n{percent(g.robustness[k])} robust" if kind == "attractor" and not math.isnan(g.robustness[k]) else ""
         lines.append(f'  n{k + 1} [label="{before[kind]}{safe(scenario_text(g, k))}{robust}", {shapes[kind]}];')
@@ -186,33 +186,30 @@ def to_dot(g: TransitionGraph) -> str:
 
 def transition_text(g: TransitionGraph) -> str:
     """Most robust first, then places that were only reached, then the current world."""
-    cycle = lambda k: " (cycle)" if g.kinds[k] == "cycle" else ""
-    leaving = lambda k: [e for e in g.edges if e.source == k]
-    lines = [f"{g.kinds.count('attractor')} consistent scenario(s), {g.kinds.count('cycle')} cycle destination(s), radius {g.radius}, {len(g.edges)} lever(s)"]
-    tried = [k for k in range(len(g.nodes)) if not math.isnan(g.robustness[k]) and k != g.world]
-    for k in sorted(tried, key=lambda k: -g.robustness[k]):
-        total = g.returned[k] + g.moved[k] + g.destabilized[k]
-        lines.append(f"  [{k + 1}] {scenario_text(g, k)} — robustness {percent(g.robustness[k])} ({g.returned[k]}/{total} single changes absorbed; {g.moved[k]} move it, {g.destabilized[k]} destabilise it)")
-        out = leaving(k)
-        if not out:
-            lines.append("        no lever moves this future")
-        for to in dict.fromkeys(e.target for e in out):
-            lines.append(f"     → [{to + 1}] {scenario_text(g, to)}{cycle(to)} via:")
-            lines += [f"          {changes_text(g, e)}{'   [pair]' if len(e.changes) > 1 else ''}" for e in out if e.target == to]
-    if only := [k for k in range(len(g.nodes)) if math.isnan(g.robustness[k])]:
-        lines.append("  Destination-only nodes (not perturbed): " + ", ".join(f"[{k + 1}] {scenario_text(g, k)}{cycle(k)}" for k in only))
-    if g.world is not None:
-        w = g.world
-        lines += ["  ── Current state of the world ──", f"  [{w + 1}] {scenario_text(g, w)}"]
-        if g.kinds[w] != "world":
-            lines.append("        (this state is itself a consistent scenario)")
-        else:
-            out = leaving(w)
-            base = next((e for e in out if not e.changes), None)
-            lines.append("        default future: stays where it is" if base is None else f"        default future, with no commitment: [{base.target + 1}] {scenario_text(g, base.target)}{' (cycle — it never settles)' if cycle(base.target) else ''} after {base.steps} step(s)")
-            total = g.returned[w] + g.moved[w] + g.destabilized[w]
-            lines.append(f"        {g.returned[w]}/{total} single commitments leave that default unchanged; the rest redirect it:")
-            lines += [f"          {changes_text(g, e)}  ⟶  [{e.target + 1}] {scenario_text(g, e.target)}{cycle(e.target)}" for e in out if e.changes]
+
+    def place(k: int) -> str:
+        return f"[{k + 1}] {scenario_text(g, k)}{' (cycle)' if g.kinds[k] == 'cycle' else ''}"
+
+    def levers(k: int) -> list[str]:
+        out: dict[int, list[str]] = {}
+        for e in g.edges:
+            if e.source == k and e.changes:
+                out.setdefault(e.target, []).append(changes_text(g, e) + " (pair)" * (len(e.changes) > 1))
+        return [line for to, said in out.items() for line in (f"    to {place(to)} by", *(f"      {x}" for x in said))] or ["    nothing leads away from it"]
+
+    count = {kind: g.kinds.count(kind) for kind in ("attractor", "cycle")}
+    lines = [f"{count['attractor']} consistent, {count['cycle']} cyclic, {len(g.edges)} levers of radius {g.radius}"]
+    ranked = sorted((k for k in range(len(g.nodes)) if not math.isnan(g.robustness[k]) and k != g.world), key=lambda k: -g.robustness[k])
+    for k in ranked:
+        lines.append(f"  {place(k)}: robustness {percent(g.robustness[k])}; of its single changes {g.returned[k]} come back, {g.moved[k]} settle elsewhere, {g.destabilized[k]} end in cycles")
+        lines += levers(k)
+    if reached := [place(k) for k in range(len(g.nodes)) if math.isnan(g.robustness[k])]:
+        lines.append("  only reached: " + ", ".join(reached))
+    if (w := g.world) is not None:
+        own = next((e for e in g.edges if e.source == w and not e.changes), None)
+        course = "is consistent" if g.kinds[w] != "world" else "stays" if own is None else f"drifts to {place(own.target)} in {own.steps} steps"
+        lines.append(f"  current world {place(w)} {course}; {g.returned[w]} single changes do not alter that")
+        lines += levers(w)
     return "\n".join(lines)
 
 

@@ -29,7 +29,7 @@ def test_quoting():
 
 def test_estimate_outputs(spark):
     e = estimate.estimate_basins(spark, SMALL, samples=2_000)
-    assert len(rows_of(sinks.estimate_csv(e))) == 5 and "Exact kernel; estimated shares" in sinks.estimate_text(e)
+    assert len(rows_of(sinks.estimate_csv(e))) == 5 and "Estimated shares of an exact kernel" in sinks.estimate_text(e)
 
 
 def test_graph_outputs(spark):
