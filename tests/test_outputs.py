@@ -71,3 +71,15 @@ def test_csv_sink(spark, tmp_path):
     sinks.write_csv(b, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 5
     assert [json.loads(r["value"])["basin_size"] for r in sinks.json_rows(b.filter("fp = 20")).collect()] == [12]
+
+
+def test_table_function_and_command_line(spark, tmp_path):
+    from scenaria.__main__ import main
+    from scenaria.functions.table import register_trace
+    from scenaria.sources import to_scw
+
+    register_trace(spark, SMALL)
+    rows = spark.sql("SELECT * FROM succession_trace(0) ORDER BY step").collect()
+    assert [tuple(r) for r in rows] == [(0, 0, 2), (1, 22, 2), (2, 12, 2), (3, 22, 2)]
+    (tmp_path / "a.scw").write_text(to_scw(SMALL))
+    assert json.loads(main([str(tmp_path / "a.scw"), "--mode", "basins"]))["cycles"] == 17
