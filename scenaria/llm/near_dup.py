@@ -20,7 +20,9 @@ components, sets that still hold several components are settled exactly: their
 nodes are compared across components, but for pairs that cannot be similar. For
 this, the shingles that a node shares with no other open node are counted; no
 partner can match them, which bounds the similarity of each pair from two
-numbers per node. No link that shares a sketch is lost, and nothing is capped.
+numbers per node. Then the shingles in common are counted within the join, and
+only pairs with enough of them are aligned. No link that shares a sketch is
+lost, and nothing is capped.
 
 Null counts as empty. Texts without a word are joined only to identical ones.
 Ids may be null or repeated; the class id is the least id. No other column is
@@ -176,18 +178,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a binary, b binary")
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """node, own: how many of its shingles stand in no other text of the table."""
+def _spelt(texts: DataFrame) -> DataFrame:
+    """node, num, shingles (array) of a table of texts."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for num, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(t.as_py()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(np.full(len(s), num), pa.int64())], ["shingle", "num"])
+            found = [shingles(t.as_py()).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["node", "num", "shingles"])
 
+    return texts.select("node", "num", "text").mapInArrow(spell, "node binary, num bigint, shingles array<bigint>")
+
+
+def _own_shingles(spelt: DataFrame) -> DataFrame:
+    """num, own: how many of its shingles stand in no other text of the table."""
     # shingles are distinct within a text, so a count is one of texts
-    once = texts.select("num", "text").mapInArrow(spell, "shingle bigint, num bigint").groupBy("shingle").agg(F.count("*").alias("n"), F.min("num").alias("num")).filter("n = 1")
-    return texts.select("node", "num").join(once.groupBy("num").agg(F.count("*").alias("own")), "num").select("node", "own")
+    once = spelt.select(F.explode("shingles").alias("shingle"), "num").groupBy("shingle").agg(F.count("*").alias("n"), F.min("num").alias("num")).filter("n = 1")
+    return once.groupBy("num").agg(F.count("*").alias("own"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,15 +227,19 @@ def node_classes(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, Data
     roots = components(edges)
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = materialise(_open(placed).select("sketch", "key", "node", "n", "root"))
-    own = _own_shingles(_texts(materialise(still.select("node").distinct()), rows))
-    # of a pair, at most n - own match, which bounds the other's n; all of it in integers of a millionth of slack
-    reach = F.floor((F.col("n") - F.coalesce("own", F.lit(0))) * F.lit((1 + least) / least) - F.col("n") + 1e-6)
-    reaching = still.join(own, "node", "left").withColumn("reach", reach)
+    spelt = materialise(_spelt(_texts(materialise(still.select("node").distinct()), rows)))
+    known = spelt.join(_own_shingles(spelt), "num", "left").select("node", "shingles", F.coalesce("own", F.lit(0)).alias("own"))
+    # of a pair, at most n - own match, which bounds the other's n
+    reach = F.floor((F.col("n") - F.col("own")) * F.lit((1 + least) / least) - F.col("n") + 1e-6)
+    reaching = still.join(known.select("node", "own"), "node").withColumn("reach", reach)
     lowest = reaching.groupBy("sketch", "key").agg(F.min("n").alias("low"))
     able = materialise(_open(reaching.join(lowest, ["sketch", "key"]).filter("reach >= low")).select("sketch", "key", "node", "n", "root", "reach"))
-    y = able.select("sketch", "key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "reach")))
+    able = able.join(known.select("node", "shingles"), "node")
+    y = able.select("sketch", "key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "reach", "shingles")))
     met = (F.col("node") > F.col("node_y")) & (F.col("root") != F.col("root_y")) & (F.col("n") <= F.col("reach_y")) & (F.col("n_y") <= F.col("reach")) & (F.least("n", "n_y") >= least * F.greatest("n", "n_y"))
-    across = able.join(y, ["sketch", "key"]).filter(met)
+    # no alignment matches more than both have; a pair that falls short does not leave the join
+    common = F.size(F.array_intersect("shingles", "shingles_y")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("n_y")) - 1e-6
+    across = able.join(y, ["sketch", "key"]).filter(F.when(met, common).otherwise(False))
     rest = materialise(across.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct().join(first.union(first.select("b", "a")), ["a", "b"], "left_anti"))
     more = materialise(_verified(rest, rows, least))
     if more.isEmpty():

@@ -62,8 +62,8 @@ def changed(text, n, seed):
 
 def near_rows():
     rows = []
-    for g in range(12):
-        base = " ".join(words(150, 1000 + g))
+    for g in range(9):
+        base = " ".join(words(100, 1000 + g))
         rows.append(base)
         rows += [changed(base, 1 + k % 3, g * 100 + k) for k in range(g)]
         rows += [base.upper(), base] if g % 3 == 0 else []
