@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tokenizer_path
-from .word_bpe import Remembered, WordVocabulary, normalise, pieces, runs
+from .word_bpe import Remembered, WordVocabulary, latin_word, normalise, pieces, runs
 
 START = 0
 StateMap = dict[int, tuple[int, int]]
@@ -146,10 +146,10 @@ class TokenCounter:
         return self.transducer.read(self.vocabulary.spell(pre_token))[1]
 
     def _piece(self, piece: str) -> int:
-        body = piece.rstrip(".,;:!?")
-        if body and len(body) < len(piece) and body.isalpha():
-            return self.words[body] + self.words[piece[len(body) :]]
-        return sum(map(self.words.__getitem__, self.vocabulary.pre_token.findall(piece)))
+        body = latin_word(piece)
+        if body:
+            return self.words[body] + (self.words[piece[len(body) :]] if len(body) < len(piece) else 0)
+        return sum(map(self.words.__getitem__, self.vocabulary.cut(piece)))
 
     def state_maps(self, text: str) -> Iterator[StateMap]:
         for special, part in runs(self.vocabulary, text):

@@ -38,6 +38,7 @@ class WordVocabulary:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Regex, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -49,8 +50,15 @@ class WordVocabulary:
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.pre_token = regex.compile(PRE_TOKEN)
+        self.split = pre_tokenizers.Split(Regex(PRE_TOKEN), "removed", invert=True)
         self.symbols = byte_symbols()
 
+    def cut(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece; beyond Latin letters by the library, whose tables of newer characters may differ."""
+        if max(piece, default="") < "\u0250":
+            return self.pre_token.findall(piece)
+        return [x for x, _ in self.split.pre_tokenize_str(piece)]
+
     def spell(self, pre_token: str) -> list[str]:
         """The symbols that merging starts from."""
         out = [self.symbols[b] for b in pre_token.encode("utf-8", "surrogatepass")]
@@ -90,6 +98,12 @@ def pieces(text: str) -> list[str]:
     return text.split()
 
 
+def latin_word(piece: str) -> str:
+    """The letters of a piece that is Latin letters and perhaps closing punctuation, which are two pre-tokens; else empty."""
+    body = piece.rstrip(".,;:!?")
+    return body if body.isalpha() and max(body) < "\u0250" else ""
+
+
 class Remembered(dict):
     """piece -> value, worked out on first use; emptied when it holds `most`."""
 
@@ -122,27 +136,27 @@ def runs(vocabulary: WordVocabulary, text: str) -> Iterator[tuple[int | None, st
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, packed as unsigned 32-bit integers.
 
-    The library encodes each new word once; a piece made of letters and closing
-    punctuation is put together from its parts.
+    The library's model gets each new pre-token once, already in normal form; a
+    piece made of letters and closing punctuation is put together from its parts.
     """
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.vocabulary = WordVocabulary(path)
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # runs() has taken them out
-        self.words = Remembered(self._encode, most)
+        self.model = Tokenizer.from_file(path).model
+        self.words = Remembered(self._word, most)
         self.known = Remembered(self._piece, most)
 
-    def _encode(self, piece: str) -> bytes:
-        return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+    def _word(self, pre_token: str) -> bytes:
+        spelt = pre_token if pre_token.isalnum() and pre_token.isascii() else "".join(map(self.vocabulary.symbols.__getitem__, pre_token.encode("utf-8", "surrogatepass")))
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        body = piece.rstrip(".,;:!?")
-        if body and len(body) < len(piece) and body.isalpha():
-            return self.words[body] + self.words[piece[len(body) :]]
-        return self.words[piece]
+        body = latin_word(piece)
+        if body:
+            return self.words[body] + (self.words[piece[len(body) :]] if len(body) < len(piece) else b"")
+        return b"".join(map(self.words.__getitem__, self.vocabulary.cut(piece)))
 
     def encode(self, text: str) -> bytes:
         known, out = self.known, []

@@ -36,14 +36,20 @@ def counter():
     return token_count.TokenCounter(WORDS, chunk_pieces=3)
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return LibraryEncoder(WORDS)
+
+
 TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"], max_codepoint=0x2FFF), st.sampled_from("etaoin shrdlu'.,\n ")), max_size=60)
 
 
 @settings(max_examples=150, deadline=None)
 @given(TEXT)
-def test_counts_and_ids_are_the_library_s(library, counter, text):
+def test_counts_and_ids_are_the_library_s(library, counter, encoder, text):
     ids = library.encode(text, add_special_tokens=False).ids
     assert counter.count(text) == len(ids)
+    assert encoder.encode(text) == array.array("I", ids).tobytes()
 
 
 @settings(max_examples=150, deadline=None)
