@@ -7,6 +7,7 @@ the rows that stay, with the columns of documents (the last: packed pieces).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scenaria.llm import content_sort, near_dup, packing, pii, quality_fm
 from scenaria.llm.common import materialise
@@ -15,7 +16,7 @@ from scenaria.session import ship
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality_fm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_fm.keep_good(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +26,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate texts one row stays."""
+    ship(spark)
     return near_dup.near_dedup(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, addresses and dates become pseudonyms."""
-    return pii.pseudonymise(docs)
+    """Personal numbers, addresses and dates become pseudonyms; n_chars follows where a text got longer or shorter."""
+    out = pii.pseudonymise(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences."""
+    ship(spark)
     return packing.pack_documents(docs)
 
 
@@ -45,7 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
