@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -89,26 +89,30 @@ class ByteBpe:
 
     def merge(self, raw: bytes) -> list[int]:
         """The heap over linked bytes."""
-        ranks, n = self.ranks, len(raw)
+        rank, n = self.ranks.get, len(raw)
+        bits = n.bit_length()
+        mask, wide = (1 << bits) - 1, 2 * bits
         ends = list(range(1, n + 1))  # of the part that starts at each position; 0: merged away
         before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        # rank, begin and end of a pair as one number, which orders as the three do
+        heap = [r << wide | i << bits | i + 2 for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            best = heappop(heap)
+            i, end = best >> bits & mask, best & mask
             middle = ends[i]
             if not middle or middle >= n or ends[middle] != end:
                 continue  # a neighbour has changed since
             ends[i], ends[middle] = end, 0
             if end < n:
                 before[end] = i
-                if (r := ranks.get(raw[i : ends[end]])) is not None:
-                    heapq.heappush(heap, (r, i, ends[end]))
-            if (j := before[i]) >= 0 and (r := ranks.get(raw[j:end])) is not None:
-                heapq.heappush(heap, (r, j, end))
+                if (r := rank(raw[i : ends[end]])) is not None:
+                    heappush(heap, r << wide | i << bits | ends[end])
+            if (j := before[i]) >= 0 and (r := rank(raw[j:end])) is not None:
+                heappush(heap, r << wide | j << bits | end)
         out, i = [], 0
         while i < n:
-            out.append(ranks[raw[i : ends[i]]])
+            out.append(self.ranks[raw[i : ends[i]]])
             i = ends[i]
         return out
 
