@@ -63,7 +63,7 @@ class MinimalPerfectHash:
 
 
 class ByteBpe:
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str, pattern: str, most: int = 400_000):
         import regex
 
         with open(path, "rb") as f:

@@ -52,7 +52,7 @@ LEAST = 0.8
 BROADCAST_NODES = 1_000_000
 
 _WORD = re.compile(r"\w+")
-_hash = Remembered(xxhash.xxh3_64_intdigest, 500_000)
+_hash = Remembered(xxhash.xxh3_64_intdigest, 100_000)
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 

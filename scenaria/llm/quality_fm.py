@@ -42,7 +42,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-_place = Remembered(lambda w: xxhash.xxh3_64_intdigest(w) >> (64 - BITS), 500_000)
+_place = Remembered(lambda w: xxhash.xxh3_64_intdigest(w) >> (64 - BITS), 100_000)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

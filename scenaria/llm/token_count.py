@@ -135,7 +135,7 @@ class Transducer:
 class TokenCounter:
     """Counts of whole texts; chunk_pieces is the size of a chunk."""
 
-    def __init__(self, path: str, most_remembered: int = 600_000, chunk_pieces: int = 65_536):
+    def __init__(self, path: str, most_remembered: int = 400_000, chunk_pieces: int = 65_536):
         self.vocabulary = WordVocabulary(path)
         self.transducer = Transducer(self.vocabulary)
         self.words = Remembered(self._word, most_remembered)

@@ -140,7 +140,7 @@ class LibraryEncoder:
     piece made of letters and closing punctuation is put together from its parts.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.vocabulary = WordVocabulary(path)
