@@ -37,7 +37,34 @@ DATE = r"(?<![\d/.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?<s>[ -])\d{4}\k<s>\d{4}\k<s>\d{1,7}|\d{4}(?<t>[ -])\d{6}\k<t>\d{5})(?!\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)"
+#: What begins another value, so no group of an open phone number begins there.
+OTHER = "|".join(
+    (
+        rf"(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
+        r"(?<![.-])\d{4}/\d{1,2}/\d{1,2}(?!\d)|(?<![.-])\d{1,2}/\d{1,2}/\d{4}(?!\d)",
+        r"(?<![.-])(?:1[89]|20)\d\d-(?:1[0-2]|0?[1-9])-(?:3[01]|[12]\d|0?[1-9])(?![\d/-]|\.\d)",
+        r"(?<![.-])(?:3[01]|[12]\d|0?[1-9])\.(?:1[0-2]|0?[1-9])\.(?:1[89]|20)\d\d(?![\d/-]|\.\d)",
+        r"(?<!-)(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
+        # of five groups of four, the first is still the phone's
+        r"\d{13,19}(?!\d)|\d{4}(?: \d{4} \d{4} |-\d{4}-\d{4}-)\d{1,7}(?![ -]?\d{4}(?!\d)|\d)|\d{4}(?: \d{6} |-\d{6}-)\d{5}(?!\d)",
+    )
+)
+#: Digits after the country code, where a country's numbers have all the same count, or at most one less.
+NATIONAL = {
+    8: "45|47|65|216|509|852|853|965|968|973|974",
+    9: "27|31|33|34|41|48|51|56|61|84|212|213|251|254|255|256|351|380|420|421|593|966|994|998",
+    10: "1|7|20|30|44|52|57|58|63|90|91|92|98",
+    11: "86",
+}
+#: A phone number ends where its format is complete: at its country's count of digits, in groups of two
+#: at least after the first, or after (AAA) EEE-NNNN. The form of any other country is open: it ends
+#: before what begins another value.
+DIGIT = r"(?:(?:\)[ .-]?|[ .-](?=\d\d))?\d)"
+COMPLETE = "|".join([*(rf"\+(?:{codes})[ .-]?(?=\d|\(\d{{1,4}}\))\(?\d{DIGIT}{{{n - 1}}}" for n, codes in NATIONAL.items()), r"\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[.-]\d{4}"])
+NATIVE = r"(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+GROUP = rf"(?:\d{{2,4}}|[ .-](?!{OTHER})\d{{2,4}})"
+MORE = rf"(?:\d{{2,4}}|[ .-](?!{OTHER}|{NATIVE})\d{{2,4}})"
+PHONE = rf"(?<![\d+])(?:(?:{COMPLETE})(?!\d)|\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}}){GROUP}{{2}}{MORE}{{0,2}}|{NATIVE})(?!\d)"
 NUMBERS = "|".join((IBAN, IP, DATE, SSN, PHONE, CARD))
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 

@@ -155,6 +155,28 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_a_phone_ends_where_it_is_complete(spark):
+    phones = ["+1 (826) 555-4081", "+1 826 555 4081", "+18265554081", "+44 20 7946 0958", "+33 6 12 34 56 78", "+49 (826) 555-4081"]
+    after = ["190.137.223.204", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "2024-01-05", "05.01.2024", "1/5/2024", "123-45-6789", "555-123-4567", *("12345678"[:k] for k in range(2, 9))]
+    kinds = ["ip", "card", "card", "card", "date", "date", "date", "ssn", "phone", *[None] * 7]
+    cases = [(p, a, k) for p in phones for a, k in zip(after, kinds)]
+    open_form = "+49 1512 3456 789"  # of a country whose numbers differ in length
+    cases += [(open_form, a, k) for a, k in zip(after, kinds) if k]
+    docs = spark.createDataFrame([(k, f"call {p} {a} now") for k, (p, a, _) in enumerate(cases)] + [(-1 - k, f"call {p} now") for k, p in enumerate([*phones, open_form])], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs, found_col="found").collect()}
+    alone = {p: rows[-1 - k]["text"].removesuffix(" now") for k, p in enumerate([*phones, open_form])}
+    for k, (p, a, kind) in enumerate(cases):
+        assert rows[k]["found"] == (["phone", kind] if kind else ["phone"]), (p, a)
+        assert rows[k]["text"].startswith(alone[p] + " ") and alone[p] != f"call {p}", (p, a)
+        left = rows[k]["text"].removeprefix(alone[p] + " ").removesuffix(" now")
+        assert (left == a) == (kind is None), (p, a)
+    shapes = ["+41 44-668 18 00", "+46 8 123 456 78", "+49 30 1234 5678", "+353 1 234 5678", "+86 10 6552 9988", "(826) 555-4081", "826-555-4081", "+7 (826) 555-40-81", "+33 1.23.45.67.89", "+39 06.12.34.56.78", "+49 1512 3456 7890"]
+    whole = pii.pseudonymise(spark.createDataFrame([(k, f"at {p}, or") for k, p in enumerate(shapes)], "doc_id bigint, text string"), found_col="found")
+    for r in whole.collect():
+        p = shapes[r["doc_id"]]
+        assert r["found"] == ["phone"] and re.sub(r"\d", "9", r["text"]) == re.sub(r"\d", "9", f"at {p}, or"), p
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(10_227).select(pii.permute_number(F.col("id"), 21, 487, "k", "t").alias("x"))
     assert n.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first() == (10_227, 0, 10_226)
