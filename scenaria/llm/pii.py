@@ -36,7 +36,16 @@ IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?<s>[ -])\d{4}\k<s>\d{4}\k<s>\d{1,7}|\d{4}(?<t>[ -])\d{6}\k<t>\d{5})(?!\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+#: Countries whose IBANs fill all their groups of four: nothing but the count of groups tells where those end.
+FULL_GROUPS = {
+    4: "BE",
+    5: "AT|BA|EE|KZ|LT|LU|MN|XK",
+    6: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    7: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG",
+    8: "LC",
+}
+FULL = "|".join(rf"(?:{lands})\d\d(?: [A-Z0-9]{{4}}){{{n - 1}}}" for n, lands in FULL_GROUPS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:{FULL}|[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?))(?![A-Za-z0-9])"
 #: What begins another value, so no group of an open phone number begins there.
 OTHER = "|".join(
     (

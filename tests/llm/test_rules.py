@@ -177,6 +177,25 @@ def test_a_phone_ends_where_it_is_complete(spark):
         assert r["found"] == ["phone"] and re.sub(r"\d", "9", r["text"]) == re.sub(r"\d", "9", f"at {p}, or"), p
 
 
+def test_an_iban_ends_with_its_last_group(spark):
+    def valid(land, rest):
+        return f"{land}{98 - int(''.join(str(int(c, 36)) for c in rest + land + '00')) % 97:02d}{rest}"
+
+    # one of each count of groups, and one whose last group is short
+    plain = ["ES9121000418450200051332", valid("BE", "539007547034"), valid("AT", "1904300234573201"), valid("PL", "109010140000071219812874"), valid("LC", "HEMM000100010012001200023015"), "DE89370400440532013000"]
+    spaced = [re.sub(r"(.{4})(?=.)", r"\1 ", x) for x in plain]
+    after = ["BIC CAIXESBB", "12", "007", "CODE", "2024 ABCD", "EUR 500", "4539 5787 6362 1486"]
+    cases = [(x, a) for x in spaced for a in after]
+    docs = spark.createDataFrame([(k, f"to {x} {a} now") for k, (x, a) in enumerate(cases)] + [(-1 - k, f"to {x}, now") for k, x in enumerate(spaced)], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs, found_col="found").collect()}
+    alone = {x: rows[-1 - k]["text"].removesuffix(", now") for k, x in enumerate(spaced)}
+    for k, (x, a) in enumerate(cases):
+        card = a.startswith("4539")
+        assert rows[k]["found"] == (["iban", "card"] if card else ["iban"]), (x, a)
+        assert rows[k]["text"].startswith(alone[x] + " ") and x not in rows[k]["text"], (x, a)
+        assert (rows[k]["text"] == f"{alone[x]} {a} now") != card, (x, a)
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(10_227).select(pii.permute_number(F.col("id"), 21, 487, "k", "t").alias("x"))
     assert n.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first() == (10_227, 0, 10_226)
