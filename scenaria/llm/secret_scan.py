@@ -1,8 +1,11 @@
 r"""Secret scans: three fixed patterns, and a battery of randomness tests.
 
 The patterns give the base spans. Beyond them, every unbroken run of 20 or more
-characters of `[A-Za-z0-9+/_=-]` that no base span touches is a candidate. Its
-encoding is inferred from the characters it uses (hexadecimal, base 32, base 36,
+characters of `[A-Za-z0-9+/_=-]` is cut at each "=" that is not its padding, as
+in NAME=value. A part that no base span touches is a candidate. Where no
+alphabet holds a part, as in a path with both "/" and "-", the longest pieces of
+it that base 62, base 64 or its form for addresses hold are candidates instead;
+those that are reported and overlap make one span. A candidate's encoding is inferred from the characters it uses (hexadecimal, base 32, base 36,
 base 62, base 64), and three tests ask whether it looks drawn at random from
 that alphabet:
 
@@ -154,19 +157,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)
 
 
+def parts(run: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is judged of an unbroken run: no "=" within, and one alphabet each."""
+    body = run.rstrip("=")
+    for m in _PART.finditer(body):
+        part = run[m.start() :] if m.end() == len(body) else m[0]
+        if infer_encoding(part):
+            yield m.start(), m.start() + len(part)
+            continue
+        found = set()
+        for pieces in _PIECES:
+            for x in pieces.finditer(part):
+                found.add((m.start() + x.start(), len(run) if m.start() + x.end() == len(body) else m.start() + x.end()))
+        yield from sorted(found)
+
+
+_PART = re.compile(r"[^=]+")
+_PIECES = tuple(re.compile(rf"[A-Za-z0-9{more}]+") for more in ("", "+/", "_-"))
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding, p) of the runs that the battery judges."""
+    """(start, end, encoding, p) of the parts of runs that the battery judges."""
     out, starts, reach = [], [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        before = bisect_left(starts, m.end())
-        if before and reach[before - 1] > m.start():
-            continue
-        encoding = infer_encoding(run)
-        if encoding is None or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if len(run.rstrip("=")) >= LEAST[encoding]:
-            out.append((m.start(), m.end(), encoding, battery(run, encoding)))
+        for start, end in parts(m[0]):
+            start, end, run = m.start() + start, m.start() + end, m[0][start:end]
+            before = bisect_left(starts, end)
+            if before and reach[before - 1] > start:
+                continue
+            encoding = infer_encoding(run)
+            if encoding is None or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+                continue
+            if len(run.rstrip("=")) >= LEAST[encoding]:
+                out.append((start, end, encoding, battery(run, encoding)))
+    return out
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
     return out
 
 
@@ -224,7 +258,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for t in batch.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                random = [(s, 3, e) for s, e, encoding, p in (candidates(text, base) if CANDIDATE.search(text) else ()) if bin_of(p) < rejected[stratum(encoding, e - s)]]
+                random = [(s, 3, e) for s, e in joined([(s, e) for s, e, encoding, p in (candidates(text, base) if CANDIDATE.search(text) else ()) if bin_of(p) < rejected[stratum(encoding, e - s)]])]
                 names = (*KINDS, "random")
                 said = lambda found: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in found)
                 for k, column in enumerate(counts):

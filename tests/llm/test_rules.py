@@ -74,6 +74,28 @@ def test_op4_frame(spark):
     assert secret_scan.secret_spans(docs.limit(0)).count() == 0
 
 
+def test_secrets_behind_names_and_in_paths(spark):
+    key, wide = "O89Agz9fAIZBC3J7wXPsY5JRDxUgcUY4", "c6m+9Jm79Nx70qTyyK9b2Z8meg7TGXIX3Su6FVw="
+    forms = ["client_key={}", "AWS_ACCESS_KEY_2={}", "get /x?sig={}&a=b", "a==b={}", "https://x.org/my-app/{}", "https://x.org/my-app/{}/v1_2/end", "at /my-app/{}-x/", "NAME={}=other"]
+    cases = [(f, key) for f in forms] + [(f, wide) for f in forms[:3]]
+    texts = [f.format(x) for f, x in cases]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    for r in secret_scan.secret_spans(docs).collect():
+        form, secret = cases[r["doc_id"]]
+        text, at = texts[r["doc_id"]], texts[r["doc_id"]].index(secret)
+        assert r["n_random"] == 1 and r["n_assign"] == r["n_access"] == r["n_hex"] == 0, text
+        start, end = map(int, r["spans"].removeprefix("random:").split(":"))
+        assert start <= at and end >= at + len(secret), (text, r["spans"])
+        assert "=" not in text[start:at] and (start == at or "/" in form), (text, r["spans"])
+    # a base span keeps what it touches, and nothing else of the run
+    text = f"0123456789abcdef01234567={key}"
+    assert [(s, e) for s, e, _, _ in secret_scan.candidates(text, secret_scan.base_spans(text))] == [(25, len(text))]
+    text = f"my_token={key}"
+    assert secret_scan.candidates(text, secret_scan.base_spans(text)) == []
+    assert list(secret_scan.parts("========================")) == []
+    assert secret_scan.joined([(5, 9), (0, 3), (2, 4), (9, 10)]) == [(0, 4), (5, 9), (9, 10)]
+
+
 # -- addresses -----------------------------------------------------------------------
 
 
