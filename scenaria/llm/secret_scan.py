@@ -20,8 +20,8 @@ where randomness is rejected. The rejections are controlled for false discovery
 encoding and length, since a short run gives the tests less power: so at most a
 share `alpha` of what is set aside as ordinary in a stratum is expected to be
 random. Candidates that are not rejected are reported if they are long enough
-for their alphabet to tell random from ordinary text (`LEAST`) and mix letters
-with digits. P-values enter the control through a histogram of fixed size for
+for their alphabet to tell random from ordinary text (`LEAST`) and mix two of
+digits, lower and upper case. P-values enter the control through a histogram of fixed size for
 each stratum, so the driver gets a bounded table whatever the corpus holds.
 
 Null and empty texts have no spans. Every row gives one row. Offsets are code
@@ -62,7 +62,7 @@ ALPHABETS = (
 )
 _PLACE = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS}
 #: Shortest run of each encoding for which the tests have power.
-LEAST = {"hex": 32, "upper_hex": 32, "base32": 26, "base36": 24, "base36_upper": 24, "base62": 22, "base64": 22, "base64_url": 22}
+LEAST = {"hex": 32, "upper_hex": 24, "base32": 26, "base36": 24, "base36_upper": 24, "base62": 22, "base64": 22, "base64_url": 22}
 BINS = 400
 TOP = 40.0  # -log10 of the smallest p-value told apart
 
@@ -186,7 +186,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             if before and reach[before - 1] > start:
                 continue
             encoding = infer_encoding(run)
-            if encoding is None or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+            if encoding is None or any(map(str.isdigit, run)) + any(map(str.islower, run)) + any(map(str.isupper, run)) < 2:
                 continue
             if len(run.rstrip("=")) >= LEAST[encoding]:
                 out.append((start, end, encoding, battery(run, encoding)))

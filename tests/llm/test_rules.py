@@ -96,6 +96,20 @@ def test_secrets_behind_names_and_in_paths(spark):
     assert secret_scan.joined([(5, 9), (0, 3), (2, 4), (9, 10)]) == [(0, 4), (5, 9), (9, 10)]
 
 
+def test_keys_without_digits_and_upper_case_hexadecimal():
+    judged = lambda t: [(x[2], t[x[0] : x[1]]) for x in secret_scan.candidates(t, secret_scan.base_spans(t))]
+    for n in (24, 31):
+        key = "7F0A93BD5E21C8D64FB07E93A1C52D8B"[:n]
+        assert judged(f"use {key} now") == [("upper_hex", key)]
+    assert judged("use qXvTzKbRwMjLpYdNsGhFcW now") == [("base62", "qXvTzKbRwMjLpYdNsGhFcW")]
+    assert judged("a-slug-of-lower-case-words and AN_UPPER_CASE_CONSTANT_NAME and 123456789012345678901234") == []
+    draw = np.random.default_rng(4)
+    letters = list(dict(secret_scan.ALPHABETS)["base62"][10:])
+    assert sum(secret_scan.battery("".join(draw.choice(letters, 22)), "base62") < 0.01 for _ in range(300)) < 30
+    for name in ("getElementsByClassNameAndTagName", "AbstractSingletonProxyFactoryBean", "applicationContextConfigurationLoader"):
+        assert secret_scan.battery(name, "base62") < 0.01
+
+
 # -- addresses -----------------------------------------------------------------------
 
 
