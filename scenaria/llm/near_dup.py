@@ -247,8 +247,10 @@ def _open(placed: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_links, kept.
 
-    class_id: the least id of the class. n_links: verified links of the text to
-    different texts. kept: true for one row of each class, with that least id.
+    class_id: the least id of the class. n_links: links of the text to different
+    texts that were verified on the way to the classes, and no count of its similar
+    texts: these links span each class, and pairs that are in one class by other
+    links are never aligned. kept: true for one row of each class, with that least id.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", node_of(F.col("text")).alias("node"), "text")
     roots, edges = node_classes(rows.select("node", "text"), least)
