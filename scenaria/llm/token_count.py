@@ -13,7 +13,9 @@ last byte of a pre-token is a symbol of its own that leads back to the start.
 A text is cut into chunks at white space, where the transducer is back in its
 start state. Each chunk becomes a state map, entry state -> (exit state, tokens
 emitted); maps compose associatively, and a scan that combines neighbours in
-rounds, as parallel prefix scans do, gives the count of the whole text.
+rounds, as parallel prefix scans do, gives the count of the whole text. As
+chunks begin and end in the start state, each map has that one entry by
+construction, so a composition adds two counts.
 
 Null and empty texts count 0. Every row gives one row. No other column of the
 input is read, so extra columns cannot clash.
