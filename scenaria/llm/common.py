@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, shared_dir
+from ..storage import Scratch, materialise, shared_dir
 
-__all__ = ["WHITESPACE", "let", "materialise", "shared_dir", "text_of", "tokenizer_path"]
+__all__ = ["WHITESPACE", "Scratch", "let", "materialise", "shared_dir", "spread_join", "text_of", "tokenizer_path"]
 
 #: The six characters `[\x20\x09-\x0D]` that count as white space in the contracts.
 WHITESPACE = " \t\n\v\f\r"
@@ -36,3 +36,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A key with fewer rows is never taken for a hot one.
+LEAST_HOT = 1024
+#: Hot keys that are broadcast, at most (a few numbers each).
+MOST_HOT = 100_000
+
+
+def hot_bound(total: int) -> int:
+    """How many of `total` rows make a key hot: so many that fewer than MOST_HOT keys can be."""
+    return max(LEAST_HOT, total // MOST_HOT + 1)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of the one row of groups that has their key; others are left out.
+
+    groups: a table; size is its column with the number of rows a key has. Hot keys
+    would each bring all their rows to one task: these rows stay where they are and
+    meet the groups of hot keys by broadcast, which are few whatever the input is.
+    Both are read more than once.
+    """
+    bound = hot_bound(groups.agg(F.sum(size)).first()[0] or 0)
+    hot = groups.filter(F.col(size) >= bound)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) < bound), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cool)

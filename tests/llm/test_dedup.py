@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scenaria.llm import content_sort, near_dup
+from scenaria.llm import common, content_sort, near_dup
 
 SCHEMA = "doc_id bigint, text string, kept string, row int"
 BLANK = {ord(c): None for c in " \t\n\v\f\r"}
@@ -74,8 +74,9 @@ def near_rows():
     return rows
 
 
-def brute_near(texts):
+def brute_near(texts, similarity=None):
     """Class by least row number, from all pairs."""
+    similarity = similarity or (lambda a, b: slow_similarity(a.tolist(), b.tolist()))
     s = [near_dup.shingles(t or "") for t in texts]
     root = list(range(len(texts)))
 
@@ -86,7 +87,7 @@ def brute_near(texts):
 
     for a in range(len(texts)):
         for b in range(a):
-            if (texts[a] or "") == (texts[b] or "") or slow_similarity(s[a].tolist(), s[b].tolist()) >= 0.8:
+            if (texts[a] or "") == (texts[b] or "") or similarity(s[a], s[b]) >= 0.8:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return [find(k) for k in range(len(texts))]
@@ -133,7 +134,56 @@ def test_near_odd_rows(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def related_rows():
+    """Copies of two texts with so many changes that most are nearly, but not, similar to each other."""
+    rows = []
+    for g in range(2):
+        base = " ".join(words(110, 9000 + g))
+        rows += [changed(base, k % 7, 100 * g + k) for k in range(90)]
+        # copies of copies, which are similar by changes that they share
+        far = changed(base, 6, 7000 + g)
+        rows += [changed(far, k % 3, 8000 + k) for k in range(6)]
+    return rows + [" ".join(words(n, 9100 + k)) for k in range(3) for n in (8, 70, 90)]
+
+
+def test_related_texts_against_brute_force(spark, monkeypatch):
+    texts = related_rows()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    expected = dict(enumerate(brute_near(texts, near_dup.similarity)))  # which a test above holds against full alignments
+    for hot, task in ((common.LEAST_HOT, near_dup.IN_A_TASK), (3, 4)):
+        monkeypatch.setattr(common, "LEAST_HOT", hot)
+        monkeypatch.setattr(near_dup, "IN_A_TASK", task)
+        got = near_dup.near_duplicates(docs).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == expected
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    s = [near_dup.shingles(t) for t in related_rows()]
+    roots = [k % 5 for k in range(len(s))]
+    with common.Scratch(spark) as scratch:
+        spelt = scratch.write(spark.createDataFrame([(int(h), k) for k, x in enumerate(s) for h in x.view("int64")], "shingle bigint, num bigint"))
+        nodes = spark.createDataFrame([(k, len(x), bytes([roots[k]])) for k, x in enumerate(s)], "num bigint, n int, root binary")
+        got = [tuple(sorted(r)) for r in near_dup.prefix_pairs(scratch, spelt, nodes, 0.8).collect()]
+    alike = {(a, b) for b in range(len(s)) for a in range(b) if roots[a] != roots[b] and near_dup.similarity(s[a], s[b]) >= 0.8}
+    assert len(got) == len(set(got)) and alike <= set(got) and len(got) < 5 * len(alike)
+
+
+def test_similar_pairs_share_a_sketch():
+    missed = pairs = 0
+    for n in (9, 20, 60, 66, 75, 90, 200):
+        for k in range(60):
+            base = " ".join(words(n, 50 * n + k))
+            other = " ".join(changed(base, 1 + k % 5, k).split()[: n - k % 2])
+            a, b = near_dup.shingles(base), near_dup.shingles(other)
+            if near_dup.similarity(a, b) >= 0.8:
+                pairs += 1
+                missed += not set(near_dup.keys_of(a).tolist()) & set(near_dup.keys_of(b).tolist())
+    assert pairs > 100 and missed <= 0.01 * pairs
+
+
 def test_components(spark):
     edges = [(b, a) for a, b in ((bytes([k]), bytes([k + 1])) for k in range(20))] + [(b"\x65", b"\x66")]
-    roots = {bytes(r["node"]): bytes(r["root"]) for r in near_dup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    with common.Scratch(spark) as scratch:
+        found = near_dup.components(scratch, spark.createDataFrame(edges, "a binary, b binary")).collect()
+    roots = {bytes(r["node"]): bytes(r["root"]) for r in found}
     assert set(roots.values()) == {b"\0", b"\x65"} and len(roots) == 23
