@@ -2,38 +2,52 @@ r"""PII: format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 Found: e-mail addresses, IPv4 addresses, payment card numbers (13 to 19 digits
 with a right Luhn digit), IBANs (right by modulo 97), US social security
-numbers (of a valid area), phone numbers, and calendar dates (Y-M-D, Y/M/D,
-M/D/Y or, where that is no date, D/M/Y, and D.M.Y). Numbers and dates that fail
-validation are left alone, and so is all other text.
+numbers (of a valid area), phone numbers, and calendar dates (Y-M-D, Y/M/D;
+M/D/Y and M-D-Y or, where that is no date, D/M/Y and D-M-Y; D.M.Y). Numbers and
+dates that fail validation are left alone, and so is all other text, IPv6
+addresses included. One expression finds them all in the text as it was given, an
+address before a number that begins with it, so nothing is replaced twice.
 
 Each is keyed-permuted within its format by an alternating Feistel network with
 SHA-2 round functions: equal values get equal pseudonyms in all documents, and
-different values of a kind and format different ones. Characters keep their
-class and place (the part of an e-mail address before @; the digits of a phone
-number after the country code; card digits but for the Luhn digit and IBAN
-characters but for the check digits, both of which are worked out anew). An
-IPv4 address is permuted as a 32-bit number, a social security number within
-the valid areas, a date within its window of 28 years (all such windows from
-1901 to 2096 have 10,227 days) or else within its own year.
+different values of a kind different ones. What is permuted is the bare value
+(digits, or letters and digits, without separators), and the pseudonym is written
+in the layout in which the value was found, so a value stays linked however it is
+spaced. In detail: the part of an e-mail address before @, where digits, lower and
+upper case keep their places and other characters stay; the digits of a phone
+number after the country code, which is known by its digits; card digits but for
+the Luhn digit and IBAN characters but for the check digits, both of which are
+worked out anew; an IPv4 address as a 32-bit number; a social security number
+within the valid areas; a date as a day within its window of 28 years (all such
+windows from 1901 to 2096 have 10,227 days) or else within its own year. A phone
+number without a country code is linked to the same digits behind any code.
+
+The key is an argument. It stands in the query plan, so guard event logs as you
+guard the key.
 
 A pseudonym may by chance equal its value, once in as many as the format has.
-Null texts stay null, other columns are not touched, every row gives one row.
+Null texts stay null, empty and very long ones are read as all others, other
+columns are not touched (a new column that is asked for replaces one of its name).
+Every row gives one row, repeated ones too; an empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
 
 ROUNDS = 8
-KEY = "scenaria"  # for tests; give one of your own
+KEY_SETTING = "spark.scenaria.pii.key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
-DATE = r"(?<![\d/.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)"
+DATE = r"(?<![\d/.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?<s>[ -])\d{4}\k<s>\d{4}\k<s>\d{1,7}|\d{4}(?<t>[ -])\d{6}\k<t>\d{5})(?!\d)"
 #: Countries whose IBANs fill all their groups of four: nothing but the count of groups tells where those end.
@@ -52,6 +66,7 @@ OTHER = "|".join(
         rf"(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
         r"(?<![.-])\d{4}/\d{1,2}/\d{1,2}(?!\d)|(?<![.-])\d{1,2}/\d{1,2}/\d{4}(?!\d)",
         r"(?<![.-])(?:1[89]|20)\d\d-(?:1[0-2]|0?[1-9])-(?:3[01]|[12]\d|0?[1-9])(?![\d/-]|\.\d)",
+        r"(?<![.-])(?:3[01]|[12]\d|0?[1-9])-(?:3[01]|[12]\d|0?[1-9])-(?:1[89]|20)\d\d(?![\d/-]|\.\d)",
         r"(?<![.-])(?:3[01]|[12]\d|0?[1-9])\.(?:1[0-2]|0?[1-9])\.(?:1[89]|20)\d\d(?![\d/-]|\.\d)",
         r"(?<!-)(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
         # of five groups of four, the first is still the phone's
@@ -74,8 +89,11 @@ NATIVE = r"(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 GROUP = rf"(?:\d{{2,4}}|[ .-](?!{OTHER})\d{{2,4}})"
 MORE = rf"(?:\d{{2,4}}|[ .-](?!{OTHER}|{NATIVE})\d{{2,4}})"
 PHONE = rf"(?<![\d+])(?:(?:{COMPLETE})(?!\d)|\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}}){GROUP}{{2}}{MORE}{{0,2}}|{NATIVE})(?!\d)"
-NUMBERS = "|".join((IBAN, IP, DATE, SSN, PHONE, CARD))
+#: An address goes first; a number does not end within one.
+FOUND = rf"{EMAIL}|(?:{'|'.join((IBAN, IP, DATE, SSN, PHONE, CARD))})(?![A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++\.[A-Za-z0-9-])"
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
+#: The country codes of one and two digits; all others have three.
+CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def _whole(pattern: str) -> str:
@@ -101,6 +119,24 @@ def permute_number(x: Column, low: int, high: int, key: str, kind: str) -> Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step, lambda s: s["a"] + s["b"] * F.lit(low))
 
 
+def permute_digits(x: Column, key: str, kind: str) -> Column:
+    """A keyed permutation of the digit strings as long as x (up to 36), as a Feistel network over its halves."""
+    size = F.length(x)
+    left = F.floor(size / 2).cast("int")
+    number = lambda half: F.coalesce(half.cast("long"), F.lit(0).cast("long"))
+    radix = lambda places: F.pow(F.lit(10), places).cast("long")
+    begin = F.struct(number(F.substring(x, F.lit(1), left)).alias("a"), number(F.substring(x, left + 1, size)).alias("b"))
+
+    def step(s: Column, i: Column) -> Column:
+        odd = i % 2 == 1
+        by = _hash(key, kind, i, F.concat_ws("|", size.cast("string"), F.when(odd, s["b"]).otherwise(s["a"]).cast("string")))
+        moved = (F.when(odd, s["a"]).otherwise(s["b"]) + by) % radix(F.when(odd, left).otherwise(size - left))
+        return F.struct(F.when(odd, moved).otherwise(s["a"]).alias("a"), F.when(odd, s["b"]).otherwise(moved).alias("b"))
+
+    spelt = lambda n, places: F.lpad(n.cast("string"), places, "0")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step, lambda s: F.concat(spelt(s["a"], left), spelt(s["b"], size - left)))
+
+
 def permute_text(x: Column, key: str, kind: str) -> Column:
     """A keyed permutation of the strings that have x's pattern of digits, lower and upper case; other characters stay."""
 
@@ -147,21 +183,40 @@ def mod97(letters: Column) -> Column:
     return F.aggregate(F.split(letters, ""), F.lit(0), step)
 
 
+#: What stands between the digits and letters of a value.
+SEPARATORS = " .-()+"
+
+
+def bare(x: Column) -> Column:
+    return F.translate(x, SEPARATORS, "")
+
+
+def laid_out(new: Column, x: Column) -> Column:
+    """new, which has no separators, with those of x in their places."""
+
+    def one(j: Column) -> Column:
+        c = F.substring(x, j, F.lit(1))
+        return F.when(bare(c) == "", c).otherwise(F.substring(new, F.length(bare(F.substring(x, F.lit(1), j))), F.lit(1)))
+
+    return F.when(F.length(x) == F.length(new), new).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), one), ""))
+
+
 def card(x: Column, key: str) -> Column:
-    digits = lambda s: F.regexp_replace(s, r"\D", "")
-    body = let(permute_text(F.substring(x, F.lit(1), F.length(x) - 1), key, "card"), lambda b: F.concat(b, ((10 - luhn_sum(digits(b), 1) % 10) % 10).cast("string")))
-    return F.when(luhn_sum(digits(x), 0) % 10 == 0, body)
+    def rebuilt(digits: Column) -> Column:
+        body = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+        checked = let(body, lambda b: F.concat(b, ((10 - luhn_sum(b, 1) % 10) % 10).cast("string")))
+        return F.when(luhn_sum(digits, 0) % 10 == 0, let(checked, lambda n: laid_out(n, x)))
 
+    return let(bare(x), rebuilt)
 
-def iban(x: Column, key: str) -> Column:
-    plain = lambda s: F.regexp_replace(s, " ", "")
-    land = F.substring(x, 1, 2)
-    right = mod97(F.concat(F.substring(plain(x), F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1
 
-    def rebuilt(rest: Column) -> Column:
-        return F.concat(land, F.lpad((98 - mod97(F.concat(plain(rest), land, F.lit("00")))).cast("string"), 2, "0"), rest)
+def iban(x: Column, key: str) -> Column:
+    def rebuilt(plain: Column) -> Column:
+        land, rest = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        checked = let(permute_text(rest, key, "iban"), lambda r: F.concat(land, F.lpad((98 - mod97(F.concat(r, land, F.lit("00")))).cast("string"), 2, "0"), r))
+        return F.when(mod97(F.concat(rest, F.substring(plain, 1, 4))) == 1, let(checked, lambda n: laid_out(n, x)))
 
-    return F.when(right, let(permute_text(F.substring(x, F.lit(5), F.length(x)), key, "iban"), rebuilt))
+    return let(bare(x), rebuilt)
 
 
 def ip(x: Column, key: str) -> Column:
@@ -183,8 +238,11 @@ def ssn(x: Column, key: str) -> Column:
 
 
 def phone(x: Column, key: str) -> Column:
-    code = F.regexp_extract(x, r"^(\+\d{1,3}(?=[ .(-])|\+\d|)", 1)
-    return F.concat(code, permute_text(F.substring(x, F.length(code) + 1, F.length(x)), key, "phone"))
+    def rebuilt(digits: Column) -> Column:
+        code = F.when(F.startswith(x, F.lit("+")), F.regexp_extract(digits, CODE, 1)).otherwise("")
+        return let(code, lambda c: let(F.concat(c, permute_digits(F.substring(digits, F.length(c) + 1, F.length(digits)), key, "phone")), lambda n: laid_out(n, x)))
+
+    return let(bare(x), rebuilt)
 
 
 def email(x: Column, key: str) -> Column:
@@ -225,43 +283,36 @@ def kind_of(x: Column) -> Column:
     return F.when(F.contains(x, F.lit("@")), "email").when(at(IBAN), "iban").when(at(IP), "ip").when(at(DATE), "date").when(at(SSN), "ssn").when(at(PHONE), "phone").otherwise("card")
 
 
-def _replaced(text: Column, pattern: str, pseudonym) -> Column:
-    """struct(text, kinds): every match through pseudonym(match, kind), which gives null to leave it."""
+def _replaced(text: Column, pseudonym: Callable[[Column, Column], Column]) -> Column:
+    """struct(text, kinds): everything found through pseudonym(match, kind), which gives null to leave it."""
 
     def one(m: Column) -> Column:
         return let(kind_of(m), lambda k: let(pseudonym(m, k), lambda new: F.struct(F.coalesce(new, m).alias("new"), F.when(new.isNotNull(), k).alias("kind"))))
 
     def put(found: Column) -> Column:
-        between = F.split(text, pattern, -1)
+        between = F.split(text, FOUND, -1)
         joined = F.array_join(F.zip_with(between, found, lambda s, f: F.concat(s, F.coalesce(f["new"], F.lit("")))), "")
         return F.struct(joined.alias("text"), F.filter(F.transform(found, lambda f: f["kind"]), lambda k: k.isNotNull()).alias("kinds"))
 
-    return let(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one), put)
+    return let(F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), one), put)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str | None = None) -> DataFrame:
-    """docs with the text replaced; found_col, if given, names a new column with the kinds replaced, in order of the two passes."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
+    """docs with the text replaced; found_col, if given, names a column with the kinds replaced, in order."""
     nothing = F.array().cast("array<string>")
-    by_kind = {"iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
+    by_kind = {"email": email, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
 
-    def number(m: Column, k: Column) -> Column:
+    def pseudonym(m: Column, k: Column) -> Column:
         out = F.lit(None).cast("string")
         for name, f in by_kind.items():
             out = F.when(k == name, f(m, key)).otherwise(out)
         return out
 
-    # an address goes first, so that digits within it are not taken for numbers
-    def both(text: Column) -> Column:
-        mail = F.when(F.contains(text, F.lit("@")), _replaced(text, EMAIL, lambda m, k: email(m, key))).otherwise(F.struct(text.alias("text"), nothing.alias("kinds")))
-
-        def then(s: Column) -> Column:
-            more = F.when(s["text"].rlike(NUMBERS), _replaced(s["text"], NUMBERS, number)).otherwise(F.struct(s["text"].alias("text"), nothing.alias("kinds")))
-            return let(more, lambda n: F.struct(n["text"].alias("text"), F.concat(s["kinds"], n["kinds"]).alias("kinds")))
-
-        return let(mail, then)
+    def whole(text: Column) -> Column:
+        return F.when(text.rlike(FOUND), _replaced(text, pseudonym)).otherwise(F.struct(text.alias("text"), nothing.alias("kinds")))
 
     text = F.col(f"`{text_col}`")
-    done = F.when(text.isNotNull(), let(text.cast("string"), both))
+    done = F.when(text.isNotNull(), let(text.cast("string"), whole))
     name = "__found"
     while name in docs.columns:
         name += "_"
@@ -270,3 +321,15 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_
     if found_col:
         out = out.withColumn(found_col, F.coalesce(F.col(name)["kinds"], nothing))
     return out.drop(name)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting `spark.scenaria.pii.key`; where that is unset, a random one for this session.
+
+    Pseudonyms of different sessions are linked only if both were given one key.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
