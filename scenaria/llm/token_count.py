@@ -10,20 +10,28 @@ leads to one other state and emits a number of tokens, which is noted on the
 transition. States are compiled when first reached and shared by all words. The
 last byte of a pre-token is a symbol of its own that leads back to the start.
 
-A text is cut into chunks at white space, where the transducer is back in its
-start state. Each chunk becomes a state map, entry state -> (exit state, tokens
-emitted); maps compose associatively, and a scan that combines neighbours in
-rounds, as parallel prefix scans do, gives the count of the whole text. As
-chunks begin and end in the start state, each map has that one entry by
-construction, so a composition adds two counts.
-
-Null and empty texts count 0. Every row gives one row. No other column of the
-input is read, so extra columns cannot clash.
+A text is read in chunks, each of which becomes a state map, entry state -> (exit
+state, tokens emitted), without knowing what came before. White space leads back
+to the start, so a run of pieces that ends there has the start as its one entry;
+counts of short pieces are remembered. A piece of more than `chunk` bytes is cut at
+fixed places, wherever they fall in a pre-token: the entries of such a chunk are the
+states that several lengths of text before the cut lead to, as a rule the true one
+among them, because the sets forget what lies further back than a token is long.
+Maps compose associatively, and a scan that combines neighbours in rounds, as
+parallel prefix scans do, gives the count of the whole text; where it meets an entry
+that a map does not have, the chunk is read from there as well, so counts are exact.
+
+The compiled states are bounded: beyond most_states they are dropped at the next
+chunk or pre-token. A state in a map is the set itself, which no dropping changes.
+
+Null and empty texts count 0, very long ones are read in chunks, an empty table
+gives no row. Every row gives one row, repeated ids and texts too. No other column
+of the input is read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,19 +39,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tokenizer_path
-from .word_bpe import Remembered, WordVocabulary, latin_word, normalise, pieces, runs
+from .word_bpe import Remembered, WordVocabulary, latin_word, pieces, runs
 
 START = 0
-StateMap = dict[int, tuple[int, int]]
+#: A live start: (node of the tree, token that ends at the start, tokens emitted there less those emitted now).
+State = frozenset
+BEGIN: State = frozenset({(0, "", 0)})
+#: Bytes of text before a chunk that lead to its entries.
+BEFORE = (6, 24, 96)
+
+
+class StateMap(dict):
+    """entry state -> (exit state, tokens emitted). read: gives the value of an entry that is not there yet."""
+
+    def __init__(self, known: dict[State, tuple[State, int]], read: Callable[[State], tuple[State, int]] | None = None):
+        super().__init__(known)
+        self.read = read
+
+    def __missing__(self, entry: State) -> tuple[State, int]:
+        if self.read is None:
+            raise KeyError(entry)
+        value = self[entry] = self.read(entry)
+        return value
 
 
 def compose(first: StateMap, then: StateMap) -> StateMap:
     """The map of reading one chunk after the other."""
-    out = {}
-    for entry, (middle, emitted) in first.items():
-        leave, more = then[middle]
-        out[entry] = (leave, emitted + more)
-    return out
+
+    def onward(value: tuple[State, int]) -> tuple[State, int]:
+        leave, more = then[value[0]]
+        return leave, value[1] + more
+
+    return StateMap({entry: onward(value) for entry, value in first.items()}, lambda entry: onward(first[entry]))
 
 
 def scan(maps: list[StateMap]) -> list[StateMap]:
@@ -83,9 +110,7 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        # a live start: (node of the tree, token that ends at the start, tokens emitted there less those emitted now)
-        begin = frozenset({(0, "", 0)})
-        self.states, self.live, self.moves = {begin: START}, [begin], {}
+        self.states, self.live, self.moves = {BEGIN: START}, [BEGIN], {}
 
     def symbols_of(self, token: str) -> list[str]:
         end = self.vocabulary.end
@@ -109,7 +134,10 @@ class Transducer:
     def compile(self, state: int, symbol: str) -> tuple[int, int]:
         """The transition from state on symbol: next state and tokens emitted."""
         grown = [(to, left, behind) for node, left, behind in self.live[state] if (to := self.tree.get((node, symbol))) is not None]
-        last, emitted = next((self.token_at[node], behind + 1) for node, left, behind in grown if node in self.token_at and self.fits(left, self.token_at[node]))
+        ends = [(self.token_at[node], behind + 1) for node, left, behind in grown if node in self.token_at and self.fits(left, self.token_at[node])]
+        if len(ends) != 1:
+            raise ValueError(f"the vocabulary does not give one encoding at {symbol!r}: {ends}")
+        last, emitted = ends[0]
         if symbol.endswith(self.vocabulary.end) and len(symbol) > 1:
             move = (START, emitted)
         else:
@@ -133,16 +161,27 @@ class Transducer:
             count += move[1]
         return state, count
 
+    def read_from(self, entry: State, symbols: list[str]) -> tuple[State, int]:
+        """The same between states as sets, which stay what they are when the compiled ones are dropped."""
+        if len(self.live) > self.most:
+            self.reset()
+        at = self.states.get(entry)
+        if at is None:
+            at = self.states[entry] = len(self.live)
+            self.live.append(entry)
+        leave, count = self.read(symbols, at)
+        return self.live[leave], count
+
 
 class TokenCounter:
-    """Counts of whole texts; chunk_pieces is the size of a chunk."""
+    """Counts of whole texts. chunk: bytes of a chunk within a piece; run: short pieces in a chunk."""
 
-    def __init__(self, path: str, most_remembered: int = 400_000, chunk_pieces: int = 65_536):
+    def __init__(self, path: str, most_remembered: int = 400_000, chunk: int = 4096, run: int = 65_536, most_states: int = 400_000):
         self.vocabulary = WordVocabulary(path)
-        self.transducer = Transducer(self.vocabulary)
+        self.transducer = Transducer(self.vocabulary, most_states)
         self.words = Remembered(self._word, most_remembered)
         self.known = Remembered(self._piece, most_remembered)
-        self.chunk = chunk_pieces
+        self.chunk, self.run = chunk, run
 
     def _word(self, pre_token: str) -> int:
         return self.transducer.read(self.vocabulary.spell(pre_token))[1]
@@ -153,18 +192,33 @@ class TokenCounter:
             return self.words[body] + (self.words[piece[len(body) :]] if len(body) < len(piece) else 0)
         return sum(map(self.words.__getitem__, self.vocabulary.cut(piece)))
 
+    def _chunks(self, piece: str) -> Iterator[StateMap]:
+        """The maps of a long piece, cut at fixed counts of bytes."""
+        symbols = [x for pre_token in self.vocabulary.cut(piece) for x in self.vocabulary.spell(pre_token)]
+        read = self.transducer.read_from
+        for at in range(0, len(symbols), self.chunk):
+            part = symbols[at : at + self.chunk]
+            entries = {read(BEGIN, symbols[max(0, at - n) : at])[0] for n in BEFORE} if at else {BEGIN}
+            yield StateMap({entry: read(entry, part) for entry in entries}, lambda entry, part=part: read(entry, part))
+
     def state_maps(self, text: str) -> Iterator[StateMap]:
         for special, part in runs(self.vocabulary, text):
             if special is not None:
-                yield {START: (START, 1)}
+                yield StateMap({BEGIN: (BEGIN, 1)})
                 continue
-            cut = pieces(normalise(part))
-            for i in range(0, len(cut), self.chunk):
-                yield {START: (START, sum(map(self.known.__getitem__, cut[i : i + self.chunk])))}
+            cut = pieces(self.vocabulary.normalise(part))
+            for i in range(0, len(cut), self.run):
+                short = cut[i : i + self.run]
+                if max(map(len, short)) > self.chunk:
+                    for piece in short:
+                        if len(piece) > self.chunk:
+                            yield from self._chunks(piece)
+                    short = [piece for piece in short if len(piece) <= self.chunk]
+                yield StateMap({BEGIN: (BEGIN, sum(map(self.known.__getitem__, short)))})
 
     def count(self, text: str) -> int:
         maps = scan(list(self.state_maps(text)))
-        return maps[-1][START][1] if maps else 0
+        return maps[-1][BEGIN][1] if maps else 0
 
 
 @lru_cache(1)

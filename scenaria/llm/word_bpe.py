@@ -38,7 +38,7 @@ class WordVocabulary:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Regex, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -50,6 +50,7 @@ class WordVocabulary:
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.pre_token = regex.compile(PRE_TOKEN)
+        self.normaliser = Tokenizer.from_file(path).normalizer
         self.split = pre_tokenizers.Split(Regex(PRE_TOKEN), "removed", invert=True)
         self.symbols = byte_symbols()
 
@@ -59,6 +60,14 @@ class WordVocabulary:
             return self.pre_token.findall(piece)
         return [x for x, _ in self.split.pre_tokenize_str(piece)]
 
+    def normalise(self, text: str) -> str:
+        """NFC and lower case; beyond Latin letters by the library, whose tables of newer characters may differ."""
+        if text.isascii():
+            return text.lower()
+        if max(text) < "\u0250":
+            return unicodedata.normalize("NFC", text).lower()
+        return self.normaliser.normalize_str(text)
+
     def spell(self, pre_token: str) -> list[str]:
         """The symbols that merging starts from."""
         out = [self.symbols[b] for b in pre_token.encode("utf-8", "surrogatepass")]
@@ -84,13 +93,6 @@ class WordVocabulary:
         return parts
 
 
-def normalise(text: str) -> str:
-    """NFC, then lower case one character at a time (no rule for a final sigma)."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-
 def pieces(text: str) -> list[str]:
     """The pieces between white space."""
     if _SEPARATORS.search(text):
@@ -161,5 +163,5 @@ class LibraryEncoder:
     def encode(self, text: str) -> bytes:
         known, out = self.known, []
         for special, part in runs(self.vocabulary, text):
-            out.append(array("I", [special]).tobytes() if special is not None else b"".join(map(known.__getitem__, pieces(normalise(part)))))
+            out.append(array("I", [special]).tobytes() if special is not None else b"".join(map(known.__getitem__, pieces(self.vocabulary.normalise(part)))))
         return out[0] if len(out) == 1 else b"".join(out)

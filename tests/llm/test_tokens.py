@@ -17,7 +17,7 @@ from scenaria.llm.word_bpe import LibraryEncoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ODD = ["", " ", None, "it's 'street we'll''s <|endoftext|>X", "Σ ΑΣ ŐŰ 日本語 ١٢ Ⅷ ½ ﬁ c̄", "a\x1cb\x85c\u3000d\u200be", "<|startoftext|>", "'", "'r", "x" * 5000, "a  b\n\n c\t'd ", "\r\n x\n", "q\u0301 e\u0301"]
+ODD = ["", " ", None, "it's 'street we'll''s <|endoftext|>X", "Σ ΑΣ ŐŰ 日本語 ١٢ Ⅷ ½ ﬁ c̄", "a\x1cb\x85c\u3000d\u200be", "<|startoftext|>", "'", "'r", "x" * 5000, "a  b\n\n c\t'd ", "\r\n x\n", "q\u0301 e\u0301", "\ua7cb\u1c89 \ua7cb", "\u0130\u1e9e \U00010400\U0001e921"]
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def tik():
 
 @pytest.fixture(scope="module")
 def counter():
-    return token_count.TokenCounter(WORDS, chunk_pieces=3)
+    return token_count.TokenCounter(WORDS, chunk=5, run=3)
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def encoder():
     return LibraryEncoder(WORDS)
 
 
-TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"], max_codepoint=0x2FFF), st.sampled_from("etaoin shrdlu'.,\n ")), max_size=60)
+TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.characters(exclude_categories=["Cs"], max_codepoint=0x2FFF), st.sampled_from("etaoin shrdlu'.,\n ")), max_size=60)
 
 
 @settings(max_examples=150, deadline=None)
@@ -74,10 +74,30 @@ def test_transducer_survives_a_reset(counter):
 
 def test_maps_compose():
     a, b = {0: (1, 2), 1: (0, 1)}, {0: (0, 5), 1: (1, 7)}
+    a, b = token_count.StateMap(a), token_count.StateMap(b)
     assert token_count.compose(a, b) == {0: (1, 9), 1: (0, 6)}
     maps = [a, b, a, b, a]
     assert token_count.scan(maps)[-1] == token_count.compose(token_count.compose(token_count.compose(token_count.compose(a, b), a), b), a)
     assert token_count.scan([]) == []
+    asked = []
+    part = token_count.StateMap({0: (0, 1)}, lambda entry: asked.append(entry) or (0, 10))
+    assert token_count.compose(a, part) == {0: (0, 12), 1: (0, 2)} and asked == [1]
+
+
+def test_long_pieces_are_read_in_chunks(library):
+    import random
+
+    draw = random.Random(6)
+    letters = ["".join(draw.choice("etaoinshrdlu") for _ in range(3000)), "ab" * 1500, "x" * 3000, "".join(draw.choice("abc1.é日") for _ in range(3000)), "the" * 1000]
+    for chunk, most_states in ((1, 400_000), (7, 50), (100, 400_000), (1000, 200)):
+        counter = token_count.TokenCounter(WORDS, chunk=chunk, most_states=most_states)
+        several = 0
+        for text in [*letters, f"a {letters[0]} b<|endoftext|>{letters[3]}"]:
+            assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), (chunk, text[:20])
+            assert len(counter.transducer.live) <= most_states + max(chunk, max(token_count.BEFORE)) * 2 + 2
+            maps = list(counter.state_maps(text))
+            several += sum(len(m) > 1 for m in maps)
+        assert several or chunk > 100
 
 
 def frame(spark, texts):
