@@ -14,8 +14,9 @@ Pieces are ranked within their class (hash buckets with counted offsets, so no
 class goes to a single task), and the rank alone says which copy of which
 pattern a piece belongs to. Offsets are running sums within a sequence.
 
-Null and empty texts are the end id alone. Repeated rows are packed as often as
-they occur. An empty table gives no piece. No column but id and text is read.
+Null and empty texts are the end id alone, very long ones are encoded whole and cut.
+Repeated rows are packed as often as they occur. An empty table gives no piece. No
+column but id and text is read.
 """
 
 from __future__ import annotations
@@ -161,11 +162,12 @@ def pack(pieces: DataFrame, length: int = SEQUENCE, classes: int = CLASSES) -> D
         base += copies
     table = {s: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for s, v in begins.items()}
 
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int")
-    pieces = pieces.withColumn("bucket", bucket)
+    # by the number of the row, so rows that repeat are dealt like all others
+    pieces = pieces.withColumn("row", F.monotonically_increasing_id())
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("size", "bucket").agg(F.count("*").alias("n")).select("size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = Window.partitionBy("size", "bucket").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")
+    place = Window.partitionBy("size", "bucket").orderBy("row")
     ranked = pieces.withColumn("place", F.row_number().over(place)).join(offsets, ["size", "bucket"]).withColumn("rank", F.col("place") - 1 + F.col("first"))
 
     @F.pandas_udf("sequence_id bigint, slot bigint")
@@ -185,7 +187,7 @@ def pack(pieces: DataFrame, length: int = SEQUENCE, classes: int = CLASSES) -> D
     seated = ranked.withColumn("seat", seat("size", "rank"))
     inside = Window.partitionBy("seat.sequence_id").orderBy(F.desc("size"), "seat.slot").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(inside), F.lit(0))
-    names = [c for c in pieces.columns if c not in ("size", "bucket")]
+    names = [c for c in pieces.columns if c not in ("size", "bucket", "row")]
     return seated.select(*names, F.col("seat.sequence_id").alias("sequence_id"), offset.alias("offset"))
 
 
