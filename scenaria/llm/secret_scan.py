@@ -14,17 +14,24 @@ that alphabet:
   independent sequence (Wald and Wolfowitz);
 * serial correlation: neighbouring symbols are uncorrelated.
 
-The three p-values are combined (Fisher), and a candidate is called ordinary
-where randomness is rejected. The rejections are controlled for false discovery
-(Benjamini and Hochberg) over all candidates of the corpus, within strata of
-encoding and length, since a short run gives the tests less power: so at most a
-share `alpha` of what is set aside as ordinary in a stratum is expected to be
-random. Candidates that are not rejected are reported if they are long enough
-for their alphabet to tell random from ordinary text (`LEAST`) and mix two of
-digits, lower and upper case. P-values enter the control through a histogram of fixed size for
-each stratum, so the driver gets a bounded table whatever the corpus holds.
-
-Null and empty texts have no spans. Every row gives one row. Offsets are code
+The three p-values are combined (Fisher). A candidate is reported if it looks random
+enough, is long enough for its alphabet to tell random from ordinary text (`LEAST`)
+and mixes two of digits, lower and upper case. How random is enough is set for each
+stratum of encoding and length, since a short run gives the tests less power:
+
+* at least so much that a random run of the stratum is given up with chance `miss`;
+* and so much that of the runs reported, a share of `alpha` at most is ordinary. What
+  random runs of the stratum score is known, from runs drawn at random; so the
+  candidates in their upper half tell how many random ones there are, and what stands
+  above a cut beyond their number is ordinary. The cut rises until that is no more
+  than the share allowed and two standard deviations of the count, which is what
+  chance may add in a stratum of few candidates.
+
+P-values enter this control through a histogram of fixed size for each stratum, so
+the driver gets a bounded table whatever the corpus holds.
+
+Null and empty texts have no spans, very long ones are read whole, an empty table
+gives none. Every row gives one row, repeated ids and texts too. Offsets are code
 points, ends exclusive. No other column of the input is read.
 """
 
@@ -35,6 +42,7 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -213,26 +221,38 @@ def bin_of(p: float) -> int:
     return min(BINS - 1, int(-math.log10(p) * BINS / TOP))
 
 
-def cut_offs(histogram: dict[tuple[str, int], int], alpha: float) -> dict[str, int]:
-    """For each stratum, the lowest bin whose candidates are rejected as not random.
+@lru_cache(256)
+def random_bins(name: str, draws: int = 2000, longest: int = 2048) -> np.ndarray:
+    """Of random runs of a stratum, the share in the bins before each, by simulation from a fixed seed."""
+    encoding, size = name.split(":")
+    letters = list(_PLACE[encoding])
+    low = 1 << (int(size) - 1)
+    first, last = min(max(low, LEAST[encoding]), longest), min(2 * low - 1, longest)
+    draw = np.random.default_rng(11)
+    seen = np.zeros(BINS + 1)
+    for n in draw.integers(first, max(first, last) + 1, draws):
+        seen[bin_of(battery("".join(draw.choice(letters, n)), encoding)) + 1] += 1
+    return seen.cumsum() / draws
 
-    Benjamini and Hochberg on binned p-values; a bin counts with its largest
-    p-value, so the control holds in spite of the binning.
-    """
+
+def cut_offs(histogram: dict[tuple[str, int], int], alpha: float, miss: float) -> dict[str, int]:
+    """For each stratum, the bin from which on candidates are taken for ordinary."""
     out = {}
     for name in {s for s, _ in histogram}:
-        counts = np.array([histogram.get((name, b), 0) for b in range(BINS)])
-        total, at_most = counts.sum(), counts[::-1].cumsum()[::-1]  # at_most[b]: p-values no larger than bin b's
-        largest = 10.0 ** (-np.arange(BINS) * TOP / BINS)
-        good = np.nonzero((at_most > 0) & (largest <= alpha * at_most / total))[0]
-        out[name] = int(good[0]) if len(good) else BINS
+        found = np.concatenate([[0], np.cumsum([histogram.get((name, b), 0) for b in range(BINS)])])
+        share = random_bins(name)
+        half, far = int(np.searchsorted(share, 0.5)), int(np.searchsorted(share, 1 - miss))
+        ordinary = found - share * found[half] / share[half]
+        good = np.nonzero(ordinary[half : far + 1] <= alpha * found[half : far + 1] + 2 * np.sqrt(found[half : far + 1]))[0]
+        out[name] = half + int(good[-1])
     return out
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.05) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.05, miss: float = 0.05) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
-    alpha: the false-discovery rate of the battery. Runs one job first, for the
+    alpha: the share of ordinary runs allowed among those that the battery reports.
+    miss: the share of random runs that may be given up. Runs one job first, for the
     histogram of p-values.
     """
     kind = docs.schema[id_col].dataType
@@ -250,7 +270,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_pydict({"stratum": pa.array([s for s, _ in seen], pa.string()), "bin": pa.array([b for _, b in seen], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
 
     histogram = {(r[0], r[1]): r[2] for r in rows.select("text").mapInArrow(measure, "stratum string, bin int, n bigint").groupBy("stratum", "bin").agg(F.sum("n")).collect()}
-    rejected = cut_offs(histogram, alpha)
+    ordinary_from = cut_offs(histogram, alpha, miss)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +278,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for t in batch.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                random = [(s, 3, e) for s, e in joined([(s, e) for s, e, encoding, p in (candidates(text, base) if CANDIDATE.search(text) else ()) if bin_of(p) < rejected[stratum(encoding, e - s)]])]
+                random = [(s, 3, e) for s, e in joined([(s, e) for s, e, encoding, p in (candidates(text, base) if CANDIDATE.search(text) else ()) if bin_of(p) < ordinary_from[stratum(encoding, e - s)]])]
                 names = (*KINDS, "random")
                 said = lambda found: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in found)
                 for k, column in enumerate(counts):
