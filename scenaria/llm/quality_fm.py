@@ -13,19 +13,22 @@ fold), whose features the executors compute; every text is then scored whole.
 
 Rows whose crc32 of the id as text is divisible by 5 are held out and never
 learned from. Labels, lang, source and ids are never inputs of a score. Null
-texts count as empty; null labels and ids are not learned from; of repeated
-labels the larger counts. Without labelled rows all scores are 0.5.
+texts count as empty, empty ones are scored, very long ones are read whole. Null
+labels and ids are not learned from; of repeated labels the larger counts, of
+different texts of one id the first in their order. Without labelled rows all scores
+are 0.5. Every row gives one row, repeated ones too; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,13 +93,18 @@ class Machine:
     def standard(self, statistics: np.ndarray) -> np.ndarray:
         return np.clip((statistics - self.mean) / self.scale, -4, 4) / 4
 
-    def score(self, text: str) -> float:
-        seen, weights, statistics = features(text)
-        at = np.concatenate([seen, (1 << BITS) + np.arange(STATISTICS)])
-        x = np.concatenate([weights, self.standard(statistics)])
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Of a batch, all at once."""
+        if not texts:
+            return np.zeros(0)
+        found = [features(t) for t in texts]
+        own = (1 << BITS) + np.arange(STATISTICS)
+        at = np.concatenate([x for seen, _, _ in found for x in (seen, own)])
+        x = np.concatenate([x for _, weights, statistics in found for x in (weights, self.standard(statistics))])
+        begin = np.cumsum([0, *(len(seen) + STATISTICS for seen, _, _ in found[:-1])])
         v = self.factors[at] * x[:, None]
-        raw = self.bias + float(self.linear[at] @ x) + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+        raw = self.bias + np.add.reduceat(self.linear[at] * x, begin) + 0.5 * (np.add.reduceat(v, begin) ** 2 - np.add.reduceat(v**2, begin)).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
@@ -144,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").filter(~held_out(F.col("id")))
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most `sample` pairs of numbers; of rows that share an id one is enough
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("text", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,23 +167,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """docs with held_out, score and predicted added (columns of these names are replaced)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(machine)  # about 4 MB, whatever the corpus
+    judge = _judge(spark.sparkContext.broadcast(machine))  # about 4 MB, whatever the corpus
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.withColumn("held_out", held_out(F.col(id_col))).withColumn("score", judge(text)).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def _judge(shared: Broadcast) -> Callable[[Column], Column]:
+    """Scores of a column, some texts at a time, so that a batch of long ones stays small."""
 
     @F.pandas_udf("double")
     def judge(texts):
-        return texts.map(lambda t: shared.value.score(t or ""))
+        import pandas as pd
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("held_out", held_out(F.col(id_col))).withColumn("score", judge(text)).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+        parts = [texts.iloc[k : k + 64].tolist() for k in range(0, len(texts), 64)]
+        return pd.Series(np.concatenate([shared.value.scores(p) for p in parts]) if parts else [], dtype=float)
+
+    return judge
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT, **options) -> DataFrame:
     """The rows of docs that are not rejected, with the columns of docs."""
-    machine = fit(docs, labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-
-    @F.pandas_udf("boolean")
-    def good(texts):
-        return texts.map(lambda t: shared.value.score(t or "") >= cut).astype(bool)
-
-    return docs.filter(good(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    judge = _judge(docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options)))
+    return docs.filter(judge(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= cut)
