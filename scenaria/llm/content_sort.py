@@ -9,14 +9,17 @@ neighbours are compared in full, which bounds each run of equals. Of a run, the
 row with the most code points stays, then that with the smallest identifier.
 
 A group of copies may hold a third of all rows. A first pass counts digests with
-map-side partial sums; the few groups that hold over `hot_share` of all rows (at
-most 1 / hot_share of them, which bounds what the driver sees) are dealt over
-`salts` runs, and the first pass also says which row of theirs stays.
-
-Null counts as empty, and empty texts form one group. A null identifier ranks
-after all others. Rows that agree in everything are interchangeable: exactly one
-stays. An empty table gives an empty one. Other columns are carried inside one
-struct and cannot clash.
+map-side partial sums. The groups of `least_hot` rows or more, but no more than the
+`most_hot` largest, are dealt over one run for each `least_hot` of their rows, by the
+number of the row, so equal identifiers are split too; the first pass also says
+which row of theirs stays. Any other group has fewer than `least_hot` rows or less
+than 1 / most_hot of all.
+
+Null counts as empty, and empty texts form one group; very long texts are compared
+whole. A null identifier ranks after all others. Rows that agree in everything are
+interchangeable: exactly one stays. An empty table gives an empty one. Other columns
+are carried inside one struct and cannot clash. The numbers of rows are those of
+their places in the input, so give a table and not a computation in random order.
 """
 
 from __future__ import annotations
@@ -35,32 +38,35 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def ranked_groups(docs: DataFrame, payload: list[str], id_col: str = "doc_id", text_col: str = "text", hot_share: float = 0.001, least_hot: int = 1024, salts: int = 64) -> DataFrame:
+def ranked_groups(docs: DataFrame, payload: list[str], id_col: str = "doc_id", text_col: str = "text", least_hot: int = 1024, most_hot: int = 1000) -> DataFrame:
     """Every row with its group: payload (struct of the columns named), doc_id, keep_id, group_size, kept, text_sha256."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in payload)).alias("payload"), F.col(id_col).alias("doc_id"), text.alias("text")).select("payload", "doc_id", "text", digest(F.col("text")).alias("sha"), F.substring(normalised(F.col("text")), 1, 16).alias("head"), F.char_length("text").cast("long").alias("size"))
-    first = F.struct(-F.col("size"), F.col("doc_id").isNull(), F.col("doc_id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in payload)).alias("payload"), F.col(id_col).alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    keyed = rows.select("payload", "doc_id", "text", "row", digest(F.col("text")).alias("sha"), F.substring(normalised(F.col("text")), 1, 16).alias("head"), F.char_length("text").cast("long").alias("size"))
+    first = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sums = keyed.groupBy("sha").agg(F.count("*").alias("n"), F.min(first).alias("first"))
-    total = docs.count()
-    bound = max(least_hot, int(total * hot_share) + 1)
-    hot = [(r["sha"], r["n"], r["first"][2]) for r in sums.filter(F.col("n") >= bound).collect()] if total >= bound else []
+    largest = sums.filter(F.col("n") >= least_hot).orderBy(F.desc("n"), "sha").limit(most_hot)
+    hot = [(r["sha"], r["n"], -(-r["n"] // least_hot), r["first"]["doc_id"], r["first"]["row"]) for r in largest.collect()]
+    kind = docs.schema[id_col].dataType.simpleString()
+    # at most most_hot rows
+    table = F.broadcast(docs.sparkSession.createDataFrame(hot, f"sha string, hot_n bigint, salts bigint, hot_lead {kind}, hot_row bigint"))
     # a constant salt would stand in the way of matching the window with the range partitioning
     keys = ["head", "sha", *(["salt"] if hot else [])]
-    salted = keyed.withColumn("salt", F.when(F.col("sha").isin([h[0] for h in hot]), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int")) if hot else keyed
+    salt = F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")), F.lit(0))
+    salted = keyed.join(table.select("sha", "salts"), "sha", "left").withColumn("salt", salt).drop("salts") if hot else keyed
     dealt = salted.repartitionByRange(*keys).withColumn("norm", normalised(F.col("text"))).drop("text")
     same = Window.partitionBy(*keys, "norm")
-    order = same.orderBy(F.desc("size"), F.asc_nulls_last("doc_id"))
-    runs = dealt.select("payload", "doc_id", "sha", F.row_number().over(order).alias("place"), F.first("doc_id").over(order).alias("lead"), F.count("*").over(same).alias("n"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    table = docs.sparkSession.createDataFrame(hot, f"sha string, hot_n bigint, hot_lead {kind}")
-    known = runs.join(F.broadcast(table), "sha", "left")
-    keep = F.when(F.col("hot_n").isNotNull(), F.col("hot_lead")).otherwise(F.col("lead"))
+    order = same.orderBy(F.desc("size"), F.asc_nulls_last("doc_id"), "row")
+    lead = F.first(F.struct("doc_id", "row")).over(order)
+    runs = dealt.select("payload", "doc_id", "sha", "row", lead.alias("lead"), F.count("*").over(same).alias("n"))
+    known = runs.join(table, "sha", "left")
+    split = F.col("hot_n").isNotNull()
     return known.select(
         "payload",
         "doc_id",
-        keep.alias("keep_id"),
+        F.when(split, F.col("hot_lead")).otherwise(F.col("lead.doc_id")).alias("keep_id"),
         F.coalesce("hot_n", "n").alias("group_size"),
-        ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"),
+        (F.col("row") == F.when(split, F.col("hot_row")).otherwise(F.col("lead.row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 

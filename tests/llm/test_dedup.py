@@ -39,7 +39,7 @@ def exact_rows():
 def test_exact_against_brute_force(spark):
     rows = exact_rows()
     docs = spark.createDataFrame([(i, t, "c", k) for k, (i, t) in enumerate(rows)], SCHEMA)
-    for options in ({}, {"hot_share": 0.0, "least_hot": 5, "salts": 4}):
+    for options in ({}, {"least_hot": 5}, {"least_hot": 4, "most_hot": 2}):
         got = content_sort.exact_groups(docs, **options).collect()
         assert sorted([tuple(r) for r in got], key=repr) == brute_exact(rows)
         left = content_sort.exact_dedup(docs, **options)
@@ -47,6 +47,17 @@ def test_exact_against_brute_force(spark):
     assert content_sort.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_a_hot_group_is_split_whatever_its_ids(spark):
+    rows = [(None, "one text")] * 3000 + [(7, "other text")] * 2000 + [(k, f"text {k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    ranked = content_sort.ranked_groups(docs, ["text"])
+    assert "salts" in ranked._jdf.queryExecution().analyzed().toString()
+    got = ranked.groupBy("text_sha256").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"), F.min("group_size"), F.max("group_size"), F.count("keep_id").alias("ids")).collect()
+    assert sorted((r[1], r[2], r[3], r[4]) for r in got)[-2:] == [(2000, 1, 2000, 2000), (3000, 1, 3000, 3000)] and all(r["kept"] == 1 for r in got)
+    salts = spark.range(3000).select(F.pmod(F.xxhash64("id"), F.lit(3))).distinct().count()
+    assert salts == 3
+
+
 def test_exact_plan_has_one_exchange_of_texts(spark):
     docs = spark.createDataFrame([(1, "a", "c", 1)], SCHEMA)
     plan = content_sort.exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
