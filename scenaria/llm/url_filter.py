@@ -12,16 +12,19 @@ verdict is `default`.
 A rule without a whole literal token is filed under the empty token, which every
 URL has.
 
-The index is a broadcast table with one row per rule: it grows with the rules
-given, never with the pages. Token counts are summed map-side over all pages for
-the rules' own tokens only, and what is shuffled is one row per page.
-
-A null or relative URL (no `://`) has an empty host and path. Rows are told
-apart by a number of their own, so null and repeated ids are kept as they are.
+The index is a constant of the query: a table of buckets, each with the rules filed
+under the tokens that hash to it. So a token finds its rules by one look-up, and no
+page is shuffled. It grows with the rules given, never with the pages. Token counts
+are summed map-side over all pages for the rules' own tokens only.
+
+A null or relative URL (no `://`) has an empty host and path; very long ones are read
+whole. Every row gives one row, repeated and null ids too; an empty table gives none.
+No other column of the input is read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -60,8 +63,23 @@ def host_word_rule(action: str, word: str) -> Rule:
     return Rule(action, "", rf"^(?:[^/]*[^a-z0-9/])?{word}(?:[^a-z0-9]|\z)", (word,))
 
 
-#: Words of hosts that deal in bets, drugs, advertising and the like.
+def phrase_rule(action: str, *words: str) -> Rule:
+    """Words that follow each other, anywhere in host and path, with nothing but marks between."""
+    return Rule(action, "", "(?:^|[^a-z0-9])" + "[^a-z0-9]+".join(words) + r"(?:[^a-z0-9]|\z)", words)
+
+
+def read_rules(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table of action and text (host and path). They are given to every task, so mind their number."""
+    return tuple(path_rule(r["action"], r["text"]) for r in table.select("action", "text").collect())
+
+
+#: Words that block where they stand alone in a host.
 BAD_WORDS = ("casino", "casinos", "poker", "bet", "bets", "betting", "slots", "jackpot", "porn", "xxx", "adult", "escort", "escorts", "viagra", "cialis", "pills", "warez", "torrent", "torrents", "spam", "ads", "adserver", "malware", "phishing")
+#: Words that block anywhere behind one of OFFERS: by themselves each may be harmless.
+GOODS = ("casino", "poker", "betting", "slots", "jackpot", "lottery", "porn", "escorts", "viagra", "cialis", "pills", "steroids", "replica", "warez", "torrents", "keygen", "crack", "serial", "loan", "loans", "followers", "backlinks")
+OFFERS = ("free", "online", "best", "cheap", "buy", "live", "discount", "instant", "download", "hot")
+#: Pairs of words in the paths of advertisements and trackers.
+SERVED = (("ad", "click"), ("ads", "click"), ("banner", "click"), ("pixel", "track"), ("track", "click"), ("popup", "ad"), ("wp", "login"), ("affiliate", "redirect"))
 #: Fixed values of the contract, then the method's own rules.
 RULES = (
     path_rule("allow", "org/"),
@@ -70,6 +88,8 @@ RULES = (
     path_rule("allow", "com/fr/"),
     path_rule("block", "com/de/"),
     *(host_word_rule("block", w) for w in BAD_WORDS),
+    *(phrase_rule("block", offer, good) for offer in OFFERS for good in GOODS),
+    *(phrase_rule("block", *pair) for pair in SERVED),
 )
 
 
@@ -86,22 +106,38 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     rows = rows.withColumn("host", host_of(F.col("u"))).withColumn("path", F.when(F.locate("://", F.col("u")) > 0, F.regexp_extract(F.expr("substring(u, locate('://', u) + 3)"), r"(?s)^[^/?#]*([^?#]*)", 1)).otherwise(""))
     address = F.concat("host", "path")
     tokens = F.array_distinct(F.split(F.translate(address, UPPER, LOWER), "[^a-z0-9]+"))
-    rows = rows.select("page_id", "host", "path", F.array_union(tokens, F.array(F.lit(""))).alias("tokens"), F.monotonically_increasing_id().alias("row"))
-    index = rule_index(spark, rules, rows)
-    fetched = rows.select("page_id", "host", "path", "row", F.explode("tokens").alias("token")).join(F.broadcast(index), "token", "left")
-    fits = F.expr("pattern is not null and regexp_like(concat(host, path), pattern)")
-    best = F.max(F.when(fits, F.struct("length", "blocks", "rule", "action"))).alias("best")
-    judged = fetched.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best)
+    rows = rows.select("page_id", "host", "path", address.alias("address"), F.array_union(tokens, F.array(F.lit(""))).alias("tokens"))
+    index, size = rule_index(spark, rules, rows)
+    here = F.from_json(F.lit(index), f"array<array<{FILED}>>")
+    fetched = F.flatten(F.transform("tokens", lambda t: F.filter(F.get(here, bucket_of(t, size)), lambda r: r["token"] == t)))
+    fits = F.filter(fetched, lambda r: F.call_function("regexp_like", F.col("address"), r["pattern"]))
+    best = F.array_max(F.transform(fits, lambda r: F.struct(r["length"], r["blocks"], r["rule"], r["action"])))
+    judged = rows.select("page_id", "host", "path", best.alias("best"))
     return judged.select("page_id", "host", "path", F.when(F.col("best.rule") != "", F.col("best.rule")).alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
-def rule_index(spark: SparkSession, rules: tuple[Rule, ...], rows: DataFrame) -> DataFrame:
-    """token, rule, action, pattern, length, blocks: each rule under its rarest token."""
-    listed = [(k, r.text, r.action, r.pattern, len(r.text), int(r.action == "block")) for k, r in enumerate(rules)]
-    table = spark.createDataFrame(listed, "k int, rule string, action string, pattern string, length int, blocks int")
+#: A rule in the index.
+FILED = "struct<token: string, rule: string, action: string, pattern: string, length: int, blocks: int>"
+
+
+def bucket_of(token: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(size)).cast("int")
+
+
+def rarest_tokens(spark: SparkSession, rules: tuple[Rule, ...], rows: DataFrame) -> list[str]:
+    """For each rule, that of its tokens which the fewest rows contain; of equally rare ones the first by name."""
     literal = sorted({t for r in rules for t in r.tokens})
-    count = rows.select(F.explode("tokens").alias("token")).filter(F.col("token").isin(literal)).groupBy("token").agg(F.count("*").alias("n"))
-    of_rules = spark.createDataFrame([(k, t) for k, r in enumerate(rules) for t in (r.tokens or ("",))], "k int, token string")
-    # as many rows as the rules have tokens
-    rarest = of_rules.join(F.broadcast(count), "token", "left").groupBy("k").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    return table.join(F.broadcast(rarest), "k").select("token", "rule", "action", "pattern", "length", "blocks")
+    counts = rows.select(F.explode("tokens").alias("token")).filter(F.col("token").isin(literal)).groupBy("token").agg(F.count("*").alias("n"))
+    n = {r["token"]: r["n"] for r in counts.collect()}  # as many as the rules have tokens
+    return [min(r.tokens, key=lambda t: (n.get(t, 0), t), default="") for r in rules]
+
+
+def rule_index(spark: SparkSession, rules: tuple[Rule, ...], rows: DataFrame) -> tuple[str, int]:
+    """The buckets as JSON, and their number: each rule under its rarest token."""
+    size = 1 << max(4, (2 * len(rules)).bit_length())
+    filed = rarest_tokens(spark, rules, rows)
+    place = {r["t"]: r["b"] for r in spark.createDataFrame([(t,) for t in sorted(set(filed))], "t string").select("t", bucket_of(F.col("t"), size).alias("b")).collect()}
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for rule, token in zip(rules, filed, strict=True):
+        buckets[place[token]].append({"token": token, "rule": rule.text, "action": rule.action, "pattern": rule.pattern, "length": len(rule.text), "blocks": int(rule.action == "block")})
+    return json.dumps(buckets), size
