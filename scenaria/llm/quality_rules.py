@@ -10,8 +10,9 @@ of three words that the text has twice or more. Windows are ranked by content
 with their place, so equal ones are neighbours; nothing is quadratic in the
 length of a text, and nothing is shuffled.
 
-Null and empty texts have no words and fail the base. Every row gives one row;
-no column of the input but its id and text is read.
+Null and empty texts have no words and fail the base; very long ones are read whole.
+Every row gives one row, repeated ids and texts too; an empty table gives none. No
+column of the input but its id and text is read.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ RULES = (
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "shouting", "few_letters"),
+    "v2": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "shouting", "few_letters", "no_sentences"),
 }
 
 
@@ -119,14 +121,15 @@ def apply_policy(ledger: DataFrame, policy: str) -> DataFrame:
     return ledger.withColumn("base_failed", fails(POLICIES["base"])).withColumn("kept", ~F.col("base_failed") & ~fails(POLICIES[policy]))
 
 
-def ablation(ledger: DataFrame, policy: str) -> DataFrame:
-    """One row per rule of the policy: rule, failed (documents that fail it), only (documents that fail nothing else: what dropping it saves)."""
-    names = POLICIES[policy]
-    whole = mask(names)
-    counts = ledger.groupBy(F.col("fail_bits").bitwiseAND(F.lit(whole).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
-    one = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(mask((n,))).cast("long").alias("bit")) for n in names))).alias("x")
-    each = counts.select("bits", "n", one).select("bits", "n", "x.rule", "x.bit")
-    return each.groupBy("rule").agg(
-        F.sum(F.when(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("failed"),
-        F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("only"),
+def ablation(ledger: DataFrame, *policies: str) -> DataFrame:
+    """One row per version and rule of it: version, rule, failed (documents that fail it), only (documents that fail nothing else of that version: what dropping the rule saves).
+
+    The ledger is summed by its bits once, for all versions.
+    """
+    counts = ledger.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    rules = [F.struct(F.lit(v).alias("version"), F.lit(n).alias("rule"), F.lit(mask(POLICIES[v])).cast("long").alias("whole"), F.lit(mask((n,))).cast("long").alias("own")) for v in policies for n in POLICIES[v]]
+    each = counts.select("fail_bits", "n", F.explode(F.array(*rules)).alias("x")).select("fail_bits", "n", "x.*")
+    return each.groupBy("version", "rule").agg(
+        F.sum(F.when(F.col("fail_bits").bitwiseAND(F.col("own")) != 0, F.col("n")).otherwise(0)).alias("failed"),
+        F.sum(F.when(F.col("fail_bits").bitwiseAND(F.col("whole")) == F.col("own"), F.col("n")).otherwise(0)).alias("only"),
     )

@@ -23,6 +23,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each version of the policy and each of its rules: documents that fail it, and that fail nothing else."""
+    return quality_rules.ablation(quality_rules.ledger(_table(spark, sf_dir, "documents")), *quality_rules.POLICIES)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="found")
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), found_col="found")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,14 +69,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_quality_rules, op3_packing, op4_secret_scans, op5_quality_classifier, op6_pii, op7_exact_dedup, op8_url_filters, op9_byte_bpe, op10_near_dedup, pipeline)
+    found = (op1_token_counts, op2_quality_rules, quality_ablation, op3_packing, op4_secret_scans, op5_quality_classifier, op6_pii, op7_exact_dedup, op8_url_filters, op9_byte_bpe, op10_near_dedup, pipeline)
     return {f.__name__: f for f in found}
 
 
-def _op2_sql() -> str:
+def _ledger_sql() -> str:
+    """Common tables up to f: the measurements and fail_bits of every document."""
     ws = r"[\x20\x09-\x0D]+"
     bits = " + ".join(f"CASE WHEN {r.failed} THEN {1 << k} ELSE 0 END" for k, r in enumerate(quality_rules.RULES))
-    fails = lambda name: f"(fail_bits & {quality_rules.mask(quality_rules.POLICIES[name])}) <> 0"
     letters = lambda p: f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))"
     return f"""WITH a AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT *, list_filter(regexp_split_to_array(t, '{ws}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM a),
@@ -82,10 +87,22 @@ y AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2])
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({letters('[^' + ws[1:])} AS BIGINT) AS word_chars, CAST({letters('[#*$%&|<>]+')} AS BIGINT) AS n_symbols,
  CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(y.n, 0) AS BIGINT) AS n_repeat_words,
  CAST({letters(chr(92) + 'p{Lu}+')} AS BIGINT) AS n_upper, CAST({letters(chr(92) + 'p{L}+')} AS BIGINT) AS n_letters, CAST({letters('[.!?。！？।؟]+')} AS BIGINT) AS n_stops FROM b LEFT JOIN y USING (r)),
-f AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)
+f AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)"""
+
+
+def _op2_sql() -> str:
+    fails = lambda name: f"(fail_bits & {quality_rules.mask(quality_rules.POLICIES[name])}) <> 0"
+    return f"""{_ledger_sql()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {fails('base')} AS base_failed, NOT ({fails('base')} OR {fails('v1')}) AS kept, fail_bits FROM f"""
 
 
+def _ablation_sql() -> str:
+    rows = ", ".join(f"('{v}', '{n}', {quality_rules.mask(names)}, {quality_rules.mask((n,))})" for v, names in quality_rules.POLICIES.items() for n in names)
+    return f"""{_ledger_sql()}, p(version, rule, whole, own) AS (VALUES {rows}), n AS (SELECT fail_bits, count(*) AS n FROM f GROUP BY fail_bits)
+SELECT version, rule, CAST(sum(CASE WHEN fail_bits & own <> 0 THEN n ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN fail_bits & whole = own THEN n ELSE 0 END) AS BIGINT) AS only
+FROM p CROSS JOIN n GROUP BY version, rule"""
+
+
 def _op7_sql() -> str:
     norm = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
     return f"""WITH a AS (SELECT doc_id, {norm} AS norm, length(coalesce(text, '')) AS size FROM documents),
@@ -105,4 +122,4 @@ SELECT page_id, host, path, nullif(rule, '') AS rule, coalesce(action, 'allow')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _op2_sql(), "op7_exact_dedup": _op7_sql(), "op8_url_filters": _op8_sql()}
+    return {"op2_quality_rules": _op2_sql(), "quality_ablation": _ablation_sql(), "op7_exact_dedup": _op7_sql(), "op8_url_filters": _op8_sql()}
