@@ -55,9 +55,10 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     meet the groups of hot keys by broadcast, which are few whatever the input is.
     Both are read more than once.
     """
-    bound = hot_bound(groups.agg(F.sum(size)).first()[0] or 0)
-    hot = groups.filter(F.col(size) >= bound)
-    if hot.isEmpty():
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    bound = hot_bound(total or 0)
+    if (largest or 0) < bound:
         return rows.join(groups, key)
+    hot = groups.filter(F.col(size) >= bound)
     cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) < bound), key)
     return rows.join(F.broadcast(hot), key).unionByName(cool)
