@@ -2,13 +2,19 @@
 
 Splitmix64 seeds a xoshiro256++ stream for each block of samples, and bounded
 draws use Lemire's method with rejection. Blocks are numbered, so results depend
-on seed and sample count alone, never on partitions. Streams of many blocks run
-side by side as uint64 arrays.
+on seed and sample count alone, never on partitions.
+
+A step of xoshiro is linear over bits. So the state some steps ahead is a product
+with a matrix of bits, a block's one stream is cut into lanes that each begin where
+the one before ends, and all lanes run side by side as uint64 arrays. A draw that is
+rejected would shift all later ones; in the rare block that has one, the stream is
+run number by number.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -62,18 +68,76 @@ def block_stream(seed: int, block: int) -> Stream:
     return Stream(seed ^ (block * GOLDEN & _M))
 
 
+#: Lanes that a block is cut into.
+LANES = 512
+
+
+def _ahead(state: np.ndarray) -> np.ndarray:
+    """The next state of every lane; state: four rows of uint64."""
+    a, b, c, d = state
+    c, d = c ^ a, d ^ b
+    return np.stack([a ^ d, b ^ c, c ^ (b << np.uint64(17)), d << np.uint64(45) | d >> np.uint64(19)])
+
+
+def _bits(state: np.ndarray) -> np.ndarray:
+    """Four words of each lane as 256 rows of bits."""
+    words = np.ascontiguousarray(state.T).view(np.uint8).reshape(state.shape[1], 32)
+    return np.unpackbits(words, axis=1, bitorder="little").T
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64).T
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Over bits; sums of 256 ones are exact in float32."""
+    return ((a.astype(np.float32) @ b.astype(np.float32)) % 2).astype(np.uint8)
+
+
+@lru_cache(16)
+def _leap(steps: int) -> np.ndarray:
+    """The matrix that takes a state so many steps ahead."""
+    power, out = _bits(_ahead(_words(np.eye(256, dtype=np.uint8)))), np.eye(256, dtype=np.uint8)
+    while steps:
+        if steps & 1:
+            out = _product(power, out)
+        power = _product(power, power)
+        steps >>= 1
+    return out
+
+
+def lanes(seed: list[int], apart: int, count: int) -> np.ndarray:
+    """Four rows of uint64 for `count` lanes, each `apart` steps ahead of the one before."""
+    state = _bits(np.array(seed, np.uint64)[:, None])
+    step = _leap(apart)
+    while state.shape[1] < count:
+        state = np.concatenate([state, _product(step, state)], axis=1)
+        step = _product(step, step)
+    return _words(state[:, :count])
+
+
 def block_digits(seed: int, block: int, samples: int, sizes: tuple[int, ...]) -> np.ndarray:
     """Starting scenarios of one block, drawn descriptor by descriptor."""
-    stream, out = block_stream(seed, block), np.empty((samples, len(sizes)), np.int64)
-    nxt = stream.next
-    limits = [(n, (-n & _M) % n) for n in sizes]
+    each = -(-samples // LANES)
+    state = lanes(block_stream(seed, block).s, each * len(sizes), -(-samples // each)) if sizes else None
+    out = np.empty((each, 0 if state is None else state.shape[1], len(sizes)), np.int64)
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
     for row in out:
-        for k, (n, least) in enumerate(limits):
-            product = nxt() * n
-            while product & _M < least:
-                product = nxt() * n
-            row[k] = product >> 64
-    return out
+        for k, n in enumerate(sizes):
+            a, d = state[0], state[3]
+            total = a + d
+            drawn = (total << np.uint64(23) | total >> np.uint64(41)) + a
+            state = _ahead(state)
+            size = np.uint64(n)
+            if (drawn * size < np.uint64((1 << 64) % n)).any():
+                return _one_by_one(seed, block, samples, sizes)
+            row[:, k] = ((drawn >> half) * size + ((drawn & low) * size >> half) >> half).astype(np.int64)
+    return out.transpose(1, 0, 2).reshape(-1, len(sizes))[:samples]
+
+
+def _one_by_one(seed: int, block: int, samples: int, sizes: tuple[int, ...]) -> np.ndarray:
+    stream = block_stream(seed, block)
+    return np.array([[stream.below(n) for n in sizes] for _ in range(samples)], np.int64).reshape(samples, len(sizes))
 
 
 #: Coefficients of Acklam's approximation to the normal quantile, highest power first.

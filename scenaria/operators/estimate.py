@@ -51,28 +51,50 @@ class BasinEstimate:
         return base.select("digits", "hits", share.alias("share"), low.alias("ci_low"), high.alias("ci_high"), (share * F.lit(float(self.scenario_count))).alias("size_estimate"))
 
 
-def walk_ends(digits: np.ndarray, model: Model, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(last state, whether it is a fixed point) of every walk, all at once.
+def walk_ends(digits: np.ndarray, model: Model, rule: Rule, names: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(last state, whether it is a fixed point, steps) of every walk, all at once.
 
     Brent's method: a tortoise waits at powers of two; a walk that meets it is in
-    a cycle, one that stands still has arrived. Walks that are done drop out.
+    a cycle, one that stands still has arrived. Walks that are done drop out. Steps
+    are those of that method, in which also a fixed point is met as a cycle of one;
+    with `names`, cycles are gone round once more, and end in their member of least
+    signature.
     """
     state = digits.copy()
-    ends, still = digits.copy(), np.zeros(len(digits), bool)
+    ends, still, steps, ring = digits.copy(), np.zeros(len(digits), bool), np.zeros(len(digits), np.int64), np.zeros(len(digits), np.int64)
     alive = np.arange(len(digits))
-    tortoise, power, lap = state.copy(), 1, 0
+    tortoise, power, lap, count = state.copy(), 1, 0, 0
     while len(alive):
         to = rule.step(state, model)
+        lap, count = lap + 1, count + 1
         fixed = (to == state).all(axis=1)
         cycle = (to == tortoise).all(axis=1) & ~fixed
         done = fixed | cycle
         ends[alive[done]] = to[done]
         still[alive[fixed]] = True
+        steps[alive[fixed]] = 1 << (count - 1).bit_length()
+        steps[alive[cycle]] = count
+        ring[alive[cycle]] = lap
         alive, state, tortoise = alive[~done], to[~done], tortoise[~done]
-        lap += 1
         if lap == power:
             tortoise, power, lap = state.copy(), power * 2, 0
-    return ends, still
+    if names:
+        steps += np.maximum(ring - 1, 0)
+        round_, state = np.nonzero(ring > 1)[0], ends.copy()
+        for k in range(1, int(ring.max(initial=0))):
+            round_ = round_[ring[round_] > k]
+            state[round_] = rule.step(state[round_], model)
+            less = _less(state[round_], ends[round_])
+            ends[round_[less]] = state[round_[less]]
+    return ends, still, steps
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, by signature: the last digit that differs decides."""
+    apart = (a != b)[:, ::-1]
+    at = a.shape[1] - 1 - apart.argmax(axis=1)
+    each = np.arange(len(a))
+    return apart.any(axis=1) & (a[each, at] < b[each, at])
 
 
 def estimate_basins(spark: SparkSession, model: Model, rule: Rule = GLOBAL, samples: int = 1_000_000, seed: int = SEED, confidence: float = 0.95, kernel: Sequence[Sequence[int]] | None = None) -> BasinEstimate:
@@ -88,7 +110,7 @@ def estimate_basins(spark: SparkSession, model: Model, rule: Rule = GLOBAL, samp
             for k in b.column(0).to_pylist():
                 start = block_digits(seed, k, min(BLOCK, samples - k * BLOCK), model.sizes)
                 unique, weight = np.unique(start, axis=0, return_counts=True)
-                ends, still = walk_ends(unique, model, rule)
+                ends, still, _ = walk_ends(unique, model, rule)
                 hit, back = np.unique(ends[still], axis=0, return_inverse=True)
                 hits = np.bincount(back.ravel(), weight[still], len(hit)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([*hit.tolist(), None], pa.list_(pa.int32())), pa.array([*hits.tolist(), int(weight[~still].sum())], pa.int64())], ["digits", "hits"])
