@@ -2,9 +2,14 @@
 
 Mass push: every start carries weight 1. One step of the whole space, summed
 where it lands, leaves far fewer states; weight on fixed points is taken out,
-and the rest moves on as a DataFrame of (state, weight). When few enough states
-are left, they are closed under the rule and their pointers doubled. Weight that
-does not reach a fixed point is in cycles, transient tails included.
+and the rest moves on as a DataFrame of (state, weight). When the states are few
+enough, tasks follow theirs to the end: each closes its states under the rule and
+doubles their pointers, within a bound. What a task gives back, or a frontier that
+stays too large, goes on in rounds, and at last by pointers doubled in self-joins.
+Weight that does not reach a fixed point is in cycles, transient tails included.
+
+basins_frame gives the result as a DataFrame, whatever its size; find_basins collects
+it, for kernels that a list can hold.
 """
 
 from __future__ import annotations
@@ -18,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import INT64, Model
-from ..plans.dynamics import Space, digits_of, fast, resolve, step_signatures, stretch
+from ..plans.dynamics import Space, TooMany, digits_of, fast, resolve, step_signatures, stretch
 from ..plans.rules import GLOBAL, Rule
 from ..session import ship
-from ..storage import materialise
+from ..storage import Scratch
 
-#: States that are resolved on one machine.
-FEW = 1_000_000
+#: Frontier states that a task follows to their ends, and states it may reach on the way.
+FEW, REACHED = 250_000, 8_000_000
+#: A frontier of more than FEW for each core moves on in rounds, at most so many of them.
 ROUNDS = 64
 #: States that a task holds before it sums them and lets them go.
 CHUNK = 1_048_576
@@ -69,10 +75,11 @@ def find_basins(spark: SparkSession, model: Model, rule: Rule = GLOBAL, first: i
     first, last = 0 if first is None else first, n - 1 if last is None else last
     if not 0 <= first <= last < n:
         raise ValueError(f"starts {first}..{last} are not within 0..{n - 1}")
-    totals = push(ship(spark), model, rule, first, last)
-    fps = np.array(sorted(k for k in totals if k >= 0), np.int64)
+    found = {r["fp"]: r["basin_size"] for r in basins_frame(spark, model, rule, first, last).collect()}
+    cycles = found.pop(None, 0)
+    fps = np.array(sorted(found), np.int64)
     digits = tuple(tuple(map(int, d)) for d in digits_of(fps, model))
-    return Basins(model, digits, tuple(totals[int(k)] for k in fps), totals.get(-1, 0))
+    return Basins(model, digits, tuple(found[int(k)] for k in fps), cycles)
 
 
 def _summed(state: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,35 +132,59 @@ def next_step(frontier: DataFrame, model: Model, rule: Rule) -> DataFrame:
     return frontier.mapInArrow(walk, "state bigint, weight bigint").groupBy("state").agg(F.sum("weight").alias("weight"))
 
 
-def push(spark: SparkSession, model: Model, rule: Rule, first: int, last: int) -> dict[int, int]:
-    """Weight by fixed point, and under -1 that of cycles."""
-    totals: dict[int, int] = {}
-
-    def settle(state: np.ndarray, weight: np.ndarray) -> None:
-        for s, w in zip(*_summed(state, weight), strict=True):
-            totals[int(s)] = totals.get(int(s), 0) + int(w)
-
-    frontier = materialise(first_step(spark, model, rule, first, last))
-    for _ in range(ROUNDS):
-        size = frontier.count()
-        if size <= FEW:
-            table = frontier.toPandas()
-            state, weight = table["state"].to_numpy(np.int64), table["weight"].to_numpy(np.int64)
-            if size:
-                settle(resolve(state, model, rule), weight)
-            return totals
-        moved = materialise(next_step(frontier, model, rule))
-        for r in moved.filter("state < 0").collect():  # as many as there are fixed points
-            s = -1 - r["state"]
-            totals[s] = totals.get(s, 0) + r["weight"]
-        frontier = moved.filter("state >= 0")
-    for s, w in double_pointers(spark, model, rule, frontier).items():
-        totals[s] = totals.get(s, 0) + w
-    return totals
-
-
-def double_pointers(spark: SparkSession, model: Model, rule: Rule, frontier: DataFrame) -> dict[int, int]:
-    """For frontiers that stay large: pointers of the closed set of states, doubled by self-joins until no new start settles."""
+def ends_of(frontier: DataFrame, model: Model, rule: Rule) -> DataFrame:
+    """fp (-1: a cycle; null: not followed to its end), state (null unless fp is), weight: each task follows its own states."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        state, weight = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        for a in range(0, len(state), FEW):
+            part, n = state[a : a + FEW], weight[a : a + FEW]
+            try:
+                fp, n = _summed(resolve(part, model, rule, REACHED), n)
+                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.nulls(len(fp), pa.int64()), pa.array(n, pa.int64())], ["fp", "state", "weight"])
+            except TooMany:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(n, pa.int64())], ["fp", "state", "weight"])
+
+    return frontier.select("state", "weight").mapInArrow(walk, "fp bigint, state bigint, weight bigint")
+
+
+def basins_frame(spark: SparkSession, model: Model, rule: Rule = GLOBAL, first: int | None = None, last: int | None = None) -> DataFrame:
+    """fp (null: cycles), basin_size over the whole space, or the starts first..last. Fixed points that no start reaches have no row."""
+    n = _count(model)
+    first, last = 0 if first is None else first, n - 1 if last is None else last
+    if not 0 <= first <= last < n:
+        raise ValueError(f"starts {first}..{last} are not within 0..{n - 1}")
+    cores = ship(spark).sparkContext.defaultParallelism
+    with Scratch(spark) as scratch:
+        frontier = scratch.write(first_step(spark, model, rule, first, last))
+        settled: list[DataFrame] = []  # fp (-1: cycles), weight
+        for _ in range(ROUNDS):
+            size = frontier.count()
+            if size <= FEW * cores:
+                ends = scratch.write(ends_of(frontier.repartition(int(max(1, min(cores, size // 4096)))), model, rule))
+                settled.append(ends.filter("fp is not null").select("fp", "weight"))
+                frontier = ends.filter("fp is null").select("state", "weight")
+                if frontier.isEmpty():
+                    break
+            moved = scratch.write(next_step(frontier, model, rule))
+            settled.append(moved.filter("state < 0").select((-1 - F.col("state")).alias("fp"), "weight"))
+            frontier = moved.filter("state >= 0")
+        else:
+            settled.append(double_pointers(scratch, model, rule, frontier))
+        total = settled[0]
+        for part in settled[1:]:
+            total = total.union(part)
+        sums = total.groupBy("fp").agg(F.sum("weight").alias("basin_size"))
+        done = scratch.write(sums.union(spark.createDataFrame([(-1, 0)], "fp bigint, basin_size bigint")).groupBy(F.when(F.col("fp") >= 0, F.col("fp")).alias("fp")).agg(F.sum("basin_size").alias("basin_size")))
+        scratch.keep(done)
+        return done
+
+
+def double_pointers(scratch: Scratch, model: Model, rule: Rule, frontier: DataFrame) -> DataFrame:
+    """fp (-1: a cycle), weight. For frontiers that stay large: pointers of all states, doubled by self-joins until no new start settles."""
     n = _count(model)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,19 +192,19 @@ def double_pointers(spark: SparkSession, model: Model, rule: Rule, frontier: Dat
             state = b.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(state, pa.int64()), pa.array(step_signatures(state, model, rule), pa.int64())], ["state", "to"])
 
-    links = materialise(spark.range(n).withColumnRenamed("id", "state").mapInArrow(walk, "state bigint, to bigint"))
-    fixed = materialise(links.filter("state = to").select("state"))
+    links = scratch.write(scratch.spark.range(n).withColumnRenamed("id", "state").mapInArrow(walk, "state bigint, to bigint"))
+    fixed = scratch.write(links.filter("state = to").select("state"))
     far, open_before = links, None
     while True:
         a, b = far.alias("a"), far.alias("b")
-        far = materialise(a.join(b, F.col("a.to") == F.col("b.state")).select(F.col("a.state"), F.col("b.to")))
+        before, far = far, scratch.write(a.join(b, F.col("a.to") == F.col("b.state")).select(F.col("a.state"), F.col("b.to")))
+        scratch.drop(before)
         open_now = far.join(fixed.withColumnRenamed("state", "to"), "to", "left_anti").count()
         if open_now == open_before:
             break
         open_before = open_now
     ends = frontier.join(far, "state").join(fixed.select(F.col("state").alias("to"), F.lit(True).alias("still")), "to", "left")
-    rows = ends.groupBy(F.when(F.col("still"), F.col("to")).otherwise(-1).alias("fp")).agg(F.sum("weight").alias("w")).collect()
-    return {r["fp"]: r["w"] for r in rows}
+    return ends.select(F.when(F.col("still"), F.col("to")).otherwise(-1).alias("fp"), "weight")
 
 
 # -- partial results -----------------------------------------------------------
@@ -183,9 +214,9 @@ PARTIALS = "model string, first bigint, last bigint, kind string, fp bigint, cou
 
 def partial_basins(spark: SparkSession, model: Model, name: str, first: int, last: int, rule: Rule = GLOBAL) -> DataFrame:
     """One share of the starts as rows: kind F (fixed point, count) or C (cycles)."""
-    found = find_basins(spark, model, rule, first, last)
-    rows = [(name, first, last, "F", model.signature(u), n) for u, n in zip(found.fixed_points, found.sizes, strict=True)]
-    return spark.createDataFrame([*rows, (name, first, last, "C", None, found.cycle_count)], PARTIALS)
+    found = basins_frame(spark, model, rule, first, last)
+    kind = F.when(F.col("fp").isNull(), "C").otherwise("F")
+    return found.select(F.lit(name).alias("model"), F.lit(first).cast("bigint").alias("first"), F.lit(last).cast("bigint").alias("last"), kind.alias("kind"), "fp", F.col("basin_size").alias("count"))
 
 
 def tiling_faults(partials: DataFrame, scenarios: int | None = None) -> DataFrame:

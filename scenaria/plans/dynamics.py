@@ -149,36 +149,35 @@ def stretch(space: Space, first: int, last: int, rule: Rule) -> Iterator[np.ndar
             yield step_signatures(np.arange(at, min(last, at + 65_535) + 1), space.model, rule)
 
 
+class TooMany(Exception):
+    """The states reached are more than one machine should hold."""
+
+
 def resolve(states: np.ndarray, model: Model, rule: Rule = GLOBAL, most: int = 20_000_000) -> np.ndarray:
-    """Where each state ends: the signature of a fixed point, or -1 for a cycle.
+    """Where each state ends: the signature of a fixed point, or -1 for a cycle. TooMany beyond `most` states.
 
-    The states are closed under the rule first; then each pointer is doubled
-    until it spans the closure, after which it stands on an attractor.
+    The states are closed under the rule first: each round steps the states that are
+    new and merges them into the sorted list of those known. Then each pointer is
+    doubled until it spans the closure, after which it stands on an attractor.
     """
     known = np.unique(states)
     to = step_signatures(known, model, rule)
-    while len(new := np.setdiff1d(to, known)):
+    new = to
+    while True:
+        new = np.unique(new)
+        at = np.searchsorted(known, new)
+        seen = at < len(known)
+        seen[seen] = known[at[seen]] == new[seen]
+        new, at = new[~seen], at[~seen]
+        if not len(new):
+            break
         if len(known) + len(new) > most:
-            raise MemoryError(f"more than {most} states are reached; use the distributed method")
-        known = np.concatenate([known, new])
-        to = np.concatenate([to, step_signatures(new, model, rule)])
-        order = np.argsort(known, kind="stable")
-        known, to = known[order], to[order]
+            raise TooMany(f"more than {most} states are reached")
+        step = step_signatures(new, model, rule)
+        known, to, new = np.insert(known, at, new), np.insert(to, at, step), step
     jump = np.searchsorted(known, to)
     step = jump
     for _ in range(max(1, int(len(known)).bit_length())):
         jump = jump[jump]
     ends = np.where(step[jump] == jump, known[jump], -1)
     return ends[np.searchsorted(known, states)]
-
-
-def cycle_names(states: np.ndarray, model: Model, rule: Rule = GLOBAL) -> np.ndarray:
-    """The attractor each state ends in: a fixed point, or the least signature of its cycle."""
-    out = np.asarray(states, np.int64).copy()
-    for k, s in enumerate(out.tolist()):
-        seen: dict[int, int] = {}
-        while s not in seen:
-            seen[s] = len(seen)
-            s = int(step_signatures(np.array([s]), model, rule)[0])
-        out[k] = min(x for x, at in seen.items() if at >= seen[s])
-    return out
