@@ -1,8 +1,10 @@
 """Lever graph: which single or paired commitments lead from one future to another.
 
 Every node (consistent scenario, and the current world if given) is perturbed
-in one descriptor, or two, and walked to its attractor; all walks run in one
-Spark job on batches, and the rest is a small table.
+in one descriptor, or two, and walked to its attractor. lever_frames does this for
+kernels of any size and gives DataFrames: the changes are exploded, walked in
+batches, and counted by node. transition_graph gives the graph of one model as a
+value, for reports.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import Model
 from ..plans.rules import GLOBAL, Rule
 from ..session import ship
-from .estimate import resolve_kernel
+from .estimate import resolve_kernel, walk_ends
 
 
 @dataclass(frozen=True)
@@ -64,39 +67,66 @@ class TransitionGraph:
         return spark.createDataFrame(rows, "src int, dst int, changes array<struct<descriptor:int,variant:int>>, steps int")
 
 
-def walk(start: tuple[int, ...], model: Model, rule: Rule) -> tuple[bool, tuple[int, ...], int]:
-    """(is a fixed point, attractor, steps); a cycle is named by its member of least signature.
+#: Walks that are done here; more go to the cluster.
+HERE = 20_000
 
-    Steps to a fixed point are those taken before it; for a cycle, those to its
-    first state and once around it.
+
+def _walked(digits: DataFrame, model: Model, rule: Rule) -> DataFrame:
+    """digits with still, target, steps: where each of them ends (a cycle: in its member of least signature)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            start = np.array(b.column(b.num_columns - 1).to_pylist(), np.int64).reshape(b.num_rows, len(model.sizes))
+            ends, still, steps = walk_ends(start, model, rule, names=True)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(still), pa.array(ends.tolist(), pa.list_(pa.int32())), pa.array(steps, pa.int64())], [*b.schema.names, "still", "target", "steps"])
+
+    kept = [c for c in digits.columns if c != "digits"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in digits.select(*kept, "digits").schema)
+    ship(digits.sparkSession)
+    return digits.select(*kept, "digits").mapInArrow(run, f"{schema}, still boolean, target array<int>, steps bigint")
+
+
+def lever_frames(spark: SparkSession, model: Model, rule: Rule, nodes: DataFrame, radius: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(counts, edges) of the nodes, a DataFrame of their digits, each of which is a consistent scenario.
+
+    counts: digits, returned, moved, destabilized of every node. edges: source,
+    target, still (the target is a consistent scenario), changes, steps; those of
+    single changes that do not come back, and with radius 2 of pairs that reach what
+    no single change of the node reaches.
     """
-    path = [start]
-    seen = {start: 0}
-    while True:
-        to = tuple(int(x) for x in rule.step(np.array([path[-1]]), model)[0])
-        if to == path[-1]:
-            return True, to, len(path) - 1
-        if to in seen:
-            ring = path[seen[to] :]
-            return False, min(ring, key=lambda s: s[::-1]), len(path)
-        seen[to] = len(path)
-        path.append(to)
+    if radius not in (1, 2):
+        raise ValueError("radius must be 1 or 2")
+    # ranges follow from the model, so a node gives at most as many rows as there are variants, or pairs of them
+    every = F.array(*(F.struct(F.lit(d).alias("descriptor"), F.lit(v).alias("variant")) for d, n in enumerate(model.sizes) for v in range(n)))
+    source = nodes.select(F.col("digits").alias("source"))
+    of = lambda change: F.get("source", change["descriptor"])
+    set_to = lambda digits, change: F.transform(digits, lambda x, k: F.when(k == change["descriptor"], change["variant"]).otherwise(x))
+    single = source.select("source", F.explode(F.filter(every, lambda c: of(c) != c["variant"])).alias("change"))
+    walks = _walked(single.select("source", F.array("change").alias("changes"), set_to(F.col("source"), F.col("change")).alias("digits")), model, rule).drop("digits")
+    home = F.col("target") == F.col("source")
+    count = lambda when, name: F.sum(F.when(when, 1).otherwise(0)).cast("int").alias(name)
+    found = walks.groupBy("source").agg(count(home, "returned"), count(~home & F.col("still"), "moved"), count(~F.col("still"), "destabilized"))
+    counts = source.join(found, "source", "left").select(F.col("source").alias("digits"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("returned", "moved", "destabilized")))
+    columns = ("source", "target", "still", "changes", "steps")
+    edges = walks.filter(~home).select(*columns)
+    if radius == 2:
+        other = F.filter(every, lambda c: (c["descriptor"] > F.col("change.descriptor")) & (of(c) != c["variant"]))
+        pair = single.select("source", "change", F.explode(other).alias("other"))
+        twice = pair.select("source", F.array("change", "other").alias("changes"), set_to(set_to(F.col("source"), F.col("change")), F.col("other")).alias("digits"))
+        far = _walked(twice, model, rule).filter(~home)
+        edges = edges.unionByName(far.join(walks.select("source", "target").distinct(), ["source", "target"], "left_anti").select(*columns))
+    return counts, edges
 
 
 def walks(spark: SparkSession, model: Model, rule: Rule, starts: Sequence[tuple[int, ...]]) -> list[tuple[bool, tuple[int, ...], int]]:
-    """walk() of every start, spread over the cluster when there are many."""
+    """(is a fixed point, attractor, steps) of every start, spread over the cluster when there are many."""
     unique = list(dict.fromkeys(starts))
-    if len(unique) <= 2_000:
-        found = {s: walk(s, model, rule) for s in unique}
+    if len(unique) <= HERE:
+        ends, still, steps = walk_ends(np.array(unique, np.int64).reshape(len(unique), len(model.sizes)), model, rule, names=True)
+        found = {u: (bool(f), tuple(map(int, e)), int(n)) for u, e, f, n in zip(unique, ends, still, steps, strict=True)}
         return [found[s] for s in starts]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [walk(tuple(s), model, rule) for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got]), pa.array([list(g[1]) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int32())], ["k", "still", "digits", "steps"])
-
-    frame = ship(spark).createDataFrame([(k, list(s)) for k, s in enumerate(unique)], "k int, digits array<int>").repartition(4 * spark.sparkContext.defaultParallelism, "k")
-    found = {unique[r["k"]]: (r["still"], tuple(r["digits"]), r["steps"]) for r in frame.mapInArrow(run, "k int, still boolean, digits array<int>, steps int").collect()}
+    frame = spark.createDataFrame([(list(s),) for s in unique], "digits array<int>").repartition(4 * spark.sparkContext.defaultParallelism)
+    found = {tuple(r["digits"]): (r["still"], tuple(r["target"]), r["steps"]) for r in _walked(frame, model, rule).collect()}
     return [found[s] for s in starts]
 
 
@@ -117,7 +147,7 @@ def transition_graph(spark: SparkSession, model: Model, rule: Rule = GLOBAL, ker
         raise ValueError("there is no consistent scenario and no current world to start from")
     kinds: dict[tuple[int, ...], str] = {u: "attractor" for u in dict.fromkeys(map(tuple, known or ()))}
     if here is not None and here not in kinds:
-        kinds[here] = "attractor" if walk(here, model, rule)[2] == 0 else "world"
+        kinds[here] = "attractor" if (rule.step(np.array([here]), model)[0] == here).all() else "world"
     perturbed = list(kinds)
     singles = [[((d, v),) for d, n in enumerate(model.sizes) for v in range(n) if v != u[d]] for u in perturbed]
     every = [_changed(u, c) for u, cs in zip(perturbed, singles, strict=True) for c in cs]
