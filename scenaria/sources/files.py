@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 
@@ -85,6 +86,52 @@ def load_scw(path: str, sl_file: str | None = None, kernel: Iterable[Sequence[in
     return model
 
 
+def load_model(file_path: str | None, scw_content: str | None) -> Model:
+    """From exactly one of a path and a text; no kernel is searched."""
+    if (file_path is None) == (scw_content is None):
+        raise ValueError("give either a file or its content")
+    return load_from_text(scw_content) if file_path is None else load_scw(file_path, kernel=[]).with_kernel(None)
+
+
+# -- JSON ------------------------------------------------------------------------
+
+
+def _read(text: str):
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"this is no JSON: {e}") from e
+
+
+def model_to_json(model: Model) -> str:
+    return json.dumps({"descriptors": [{"name": d, "variants": list(v)} for d, v in zip(model.descriptors, model.variants, strict=True)], "matrix": model.matrix.tolist(), "kernel": model.kernel}, ensure_ascii=False)
+
+
+def model_from_json(text: str) -> Model:
+    """descriptors (each with name and variants), matrix, and perhaps kernel."""
+    said = _read(text)
+    if not isinstance(said, dict) or not {"descriptors", "matrix"} <= said.keys():
+        raise ValueError("a model in JSON has descriptors and a matrix")
+    model = Model(tuple(d["name"] for d in said["descriptors"]), tuple(tuple(d["variants"]) for d in said["descriptors"]), np.array(said["matrix"]))
+    kernel = said.get("kernel")
+    return model if kernel is None else model.with_kernel([model.check(u) for u in kernel])
+
+
+def signature_from(said: object) -> int:
+    """A signature as services write it: a number, or beyond 2^53 its decimal digits in a string."""
+    if isinstance(said, str) and said.isdecimal() and said.isascii():
+        return int(said)
+    if isinstance(said, int) and not isinstance(said, bool) and said >= 0:
+        return said
+    raise ValueError(f"{said!r} is no signature")
+
+
+def scenario_from_json(model: Model, text: str) -> tuple[int, ...]:
+    """Digits of a list or an object of names and indices, or of a signature."""
+    said = _read(text)
+    return model.resolve(said) if isinstance(said, (list, Mapping)) else model.inv_signature(signature_from(said))
+
+
 def load_solutions(path: str) -> list[tuple[int, ...]]:
     with open(path, encoding="utf-8", errors="replace") as f:
         return parse_solutions(f.read())

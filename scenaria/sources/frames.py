@@ -47,10 +47,16 @@ def model_from_frames(variants: DataFrame, impacts: DataFrame, descriptors: Data
 
 
 def read_solutions(spark: SparkSession, path: str) -> DataFrame:
-    """scenario_id, digits of a solution list, read by Spark."""
-    lines = spark.read.text(path).filter(F.col("value").startswith('"'))
-    digits = F.transform(F.split(F.trim(F.regexp_extract("value", '^"([^"]+)"', 1)), r"\s+"), lambda x: x.cast("int") - 1)
-    return lines.select(F.monotonically_increasing_id().cast("int").alias("scenario_id"), digits.alias("digits"))
+    """path, scenario_id, digits of solution lists, read by Spark; a scenario's number is its place in its file, from 0."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\\r?\\n").alias("lines"))
+    quoted = files.select("path", F.posexplode(F.filter("lines", lambda x: x.startswith('"'))).alias("scenario_id", "line"))
+    digits = F.transform(F.split(F.trim(F.regexp_extract("line", '^"([^"]+)"', 1)), r"\s+"), lambda x: x.cast("int") - 1)
+    return quoted.select("path", F.col("scenario_id").cast("bigint").alias("scenario_id"), digits.alias("digits"))
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of model files, read by Spark from any file system."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 class _ModelFiles(DataSourceReader):

@@ -10,15 +10,16 @@ import os
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import Model
+from ..model import Model, signature_order
 from ..operators.basins import Basins
 from ..operators.estimate import BasinEstimate
 from ..operators.structure import ComposedBasins, InfluenceStructure
 from ..operators.transitions import Transition, TransitionGraph
 from ..plans.rules import GLOBAL, Rule, succession_trace
+from ..storage import materialise
 
 #: Scenarios that a report lists, and that a file takes.
 MOST_SHOWN, MOST_EXPORTED = 2_000, 1_000_000
@@ -55,17 +56,21 @@ def write_text(path: str, text: str) -> None:
 # -- basins --------------------------------------------------------------------
 
 
-def ranked_basins(basins: DataFrame) -> DataFrame:
-    """rank, fp, basin_size, fraction: largest first, ties by signature; the row of cycles has no rank.
+def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """df with its place in the order, from 1: rows are range-partitioned and numbered where they lie, and every partition is told how many rows come before it."""
+    place = F.monotonically_increasing_id()
+    sorted_rows = materialise(df.orderBy(*order).select("*", F.shiftright(place, 33).alias("__part"), (place % (1 << 33)).alias("__at")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sorted_rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__before"))  # a row for each partition
+    return sorted_rows.join(F.broadcast(begins), "__part").withColumn(name, (F.col("__before") + F.col("__at") + 1).cast("int")).drop("__part", "__at", "__before")
 
-    Ranks come from a sort of the fixed points alone, which are few beside the starts.
-    """
-    from pyspark.sql import Window
 
-    total = basins.agg(F.sum("basin_size").alias("starts"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("basin_size"), "fp")
-    ranked = basins.filter("fp is not null").withColumn("rank", F.row_number().over(order))
-    return ranked.unionByName(basins.filter("fp is null"), allowMissingColumns=True).crossJoin(F.broadcast(total)).select("rank", "fp", "basin_size", (F.col("basin_size") / F.col("starts")).alias("fraction"))
+def ranked_basins(basins: DataFrame) -> DataFrame:
+    """rank, fp, basin_size, fraction: largest first, ties by signature; the row of cycles has no rank."""
+    total = basins.agg(F.sum("basin_size")).first()[0] or 0
+    fraction = F.col("basin_size") / F.lit(total)
+    ranked = numbered(basins.filter("fp is not null"), F.desc("basin_size"), F.asc("fp"))
+    return ranked.unionByName(basins.filter("fp is null"), allowMissingColumns=True).select("rank", "fp", "basin_size", fraction.alias("fraction"))
 
 
 def basin_csv(b: Basins) -> str:
@@ -197,18 +202,19 @@ def transition_text(g: TransitionGraph) -> str:
                 out.setdefault(e.target, []).append(changes_text(g, e) + " (pair)" * (len(e.changes) > 1))
         return [line for to, said in out.items() for line in (f"    to {place(to)} by", *(f"      {x}" for x in said))] or ["    nothing leads away from it"]
 
+    tried = sum(g.model.sizes) - len(g.model.sizes)
     count = {kind: g.kinds.count(kind) for kind in ("attractor", "cycle")}
     lines = [f"{count['attractor']} consistent, {count['cycle']} cyclic, {len(g.edges)} levers of radius {g.radius}"]
     ranked = sorted((k for k in range(len(g.nodes)) if not math.isnan(g.robustness[k]) and k != g.world), key=lambda k: -g.robustness[k])
     for k in ranked:
-        lines.append(f"  {place(k)}: robustness {percent(g.robustness[k])}; of its single changes {g.returned[k]} come back, {g.moved[k]} settle elsewhere, {g.destabilized[k]} end in cycles")
+        lines.append(f"  {place(k)}: robustness {percent(g.robustness[k])}; of its {tried} single changes {g.returned[k]} come back, {g.moved[k]} settle elsewhere, {g.destabilized[k]} end in cycles")
         lines += levers(k)
     if reached := [place(k) for k in range(len(g.nodes)) if math.isnan(g.robustness[k])]:
         lines.append("  only reached: " + ", ".join(reached))
     if (w := g.world) is not None:
         own = next((e for e in g.edges if e.source == w and not e.changes), None)
         course = "is consistent" if g.kinds[w] != "world" else "stays" if own is None else f"drifts to {place(own.target)} in {own.steps} steps"
-        lines.append(f"  current world {place(w)} {course}; {g.returned[w]} single changes do not alter that")
+        lines.append(f"  current world {place(w)} {course}; {g.returned[w]} of {tried} single changes do not alter that")
         lines += levers(w)
     return "\n".join(lines)
 
@@ -270,7 +276,6 @@ def analyse(spark: SparkSession, model: Model, mode: str, samples: int = 1_000_0
     """One of the modes consistent, basins, estimate, structure and transitions as a JSON-ready report."""
     from ..operators.basins import find_basins
     from ..operators.estimate import estimate_basins
-    from ..operators.kernel import find_consistent
     from ..operators.structure import influence_structure, product_basins, split
     from ..operators.transitions import transition_graph
 
@@ -302,18 +307,35 @@ def analyse(spark: SparkSession, model: Model, mode: str, samples: int = 1_000_0
     raise ValueError(f"mode {mode!r}: choose consistent, basins, estimate, structure or transitions")
 
 
+def export_csv(spark: SparkSession, model: Model, mode: str, samples: int = 1_000_000, radius: int = 1, world=None) -> str:
+    """The table of the modes basins, estimate and transitions."""
+    from ..operators.basins import find_basins
+    from ..operators.estimate import estimate_basins
+    from ..operators.transitions import transition_graph
+
+    if mode == "basins":
+        return basin_csv(find_basins(spark, model))
+    if mode == "estimate":
+        return estimate_csv(estimate_basins(spark, model, samples=min(max(samples, 1_000), 100_000_000)))
+    if mode == "transitions":
+        return transition_csv(transition_graph(spark, model, world=world, radius=min(max(radius, 1), 2)))
+    raise ValueError(f"mode {mode!r} has no table; choose basins, estimate or transitions")
+
+
 def list_kernel(spark: SparkSession, model: Model, most: int = MOST_SHOWN) -> tuple[list | None, int]:
     """The kernel and its size; where the islands' kernels multiply to more than `most`, the exact size alone."""
-    from ..operators.kernel import find_consistent
+    from ..operators.kernel import consistent_frame
     from ..operators.structure import influence_structure, split
 
     if model.kernel is not None:
         return (list(model.kernel) if len(model.kernel) <= most else None), len(model.kernel)
     parts = split(model, influence_structure(spark, model).components)
-    size = 1
-    for part in parts:
-        size *= len(find_consistent(spark, part)) if len(parts) > 1 else 1
-    if size > most:
-        return None, size
-    kernel = find_consistent(spark, model)
-    return (kernel if len(kernel) <= most else None), len(kernel)
+    if len(parts) > 1:
+        size = 1
+        for part in parts:
+            size *= consistent_frame(spark, part).count()
+        if size > most:
+            return None, size
+    found = consistent_frame(spark, model)
+    size = found.count()
+    return (signature_order(r["digits"] for r in found.select("digits").collect()) if size <= most else None), size
