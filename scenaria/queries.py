@@ -141,12 +141,12 @@ def impact_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every pair of consistent scenarios (u, v): the balance of u at v's variants, summed."""
+    """For every pair of consistent scenarios (u, v): the balance of u at v's variants, summed; u and v meet in those variants."""
     of = _digits(SMALL)
-    good = C.space(spark, SMALL).filter(C.consistent(SMALL, of)).select("sig", *of, F.array(*C.balance(SMALL, of)).alias("score"))
-    v = good.select(F.col("sig").alias("v"), *(F.col(f"d{k}").alias(f"v{k}") for k in range(3)))
-    total = sum((F.element_at("score", F.col(f"v{k}") + o + 1) for k, o in enumerate(SMALL.offsets)), F.lit(0))
-    return good.select(F.col("sig").alias("u"), "score").join(F.broadcast(v)).select("u", "v", total.cast("bigint").alias("product"))
+    good = C.space(spark, SMALL).filter(C.consistent(SMALL, of))
+    u = good.select(F.col("sig").alias("u"), F.posexplode(F.array(*C.balance(SMALL, of))).alias("dim", "score"))
+    v = good.select(F.col("sig").alias("v"), F.explode(F.array(*(d + o for d, o in zip(of, SMALL.offsets, strict=True)))).alias("dim"))
+    return u.join(v, "dim").groupBy("u", "v").agg(F.sum("score").cast("bigint").alias("product"))
 
 
 def step_global(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +176,7 @@ def kernel_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernel_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = kernel.branch_and_bound(spark, SMALL)
-    return spark.createDataFrame([(SMALL.signature(u),) for u in found], "sig bigint")
+    return kernel.consistent_frame(spark, SMALL, algorithm="bnb").select("sig")
 
 
 class Stubborn(Sequential):
@@ -194,15 +193,15 @@ def kernel_generic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_basins_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basins.find_basins(spark, SMALL).frame(spark)
+    return basins.basins_frame(spark, SMALL)
 
 
 def find_basins_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basins.find_basins(spark, SMALL, SEQUENTIAL).frame(spark)
+    return basins.basins_frame(spark, SMALL, SEQUENTIAL)
 
 
 def find_basins_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basins.find_basins(spark, SMALL, GLOBAL, 7, 29).frame(spark)
+    return basins.basins_frame(spark, SMALL, GLOBAL, 7, 29)
 
 
 def basins_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +211,7 @@ def basins_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basins_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranked_basins(basins.find_basins(spark, SMALL).frame(spark))
+    ranked = ranked_basins(basins.basins_frame(spark, SMALL))
     return ranked.select("rank", "fp", "basin_size", F.round("fraction", 6).alias("fraction"))
 
 
@@ -250,8 +249,8 @@ def influence_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fixed_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernel with WSEC held at Mod, as signatures of the free model."""
     pinned = SMALL.fix("WSEC", "Mod")
-    found = kernel.find_consistent(spark, pinned)
-    return spark.createDataFrame([(SMALL.signature((u[0], 1, u[2])),) for u in found], "sig bigint")
+    of = F.array(F.get("digits", F.lit(0)), F.lit(1), F.get("digits", F.lit(2)))
+    return kernel.consistent_frame(spark, pinned).select(C.signature(of, SMALL).alias("sig"))
 
 
 def product_of_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,9 +291,10 @@ def edited_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimate_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled basin shares with intervals; the pinned generator is beyond SQL."""
-    e = estimate.estimate_basins(spark, SMALL, samples=50_000)
-    return e.frame(spark)
+    """Sampled basin shares with intervals; what the pinned generator hits is pinned too."""
+    e = estimate.estimate_basins(spark, SMALL, samples=50_000).frame(spark)
+    rounded = [F.round(c, 6).alias(c) for c in ("share", "ci_low", "ci_high", "size_estimate")]
+    return e.select(F.when(F.col("digits").isNotNull(), C.signature(F.col("digits"), SMALL)).alias("fp"), "hits", *rounded)
 
 
 def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +311,7 @@ def solutions_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basins as JSON, one text per row."""
-    return json_rows(basins.find_basins(spark, SMALL).frame(spark).filter("fp is not null"))
+    return json_rows(basins.basins_frame(spark, SMALL).filter("fp is not null"))
 
 
 # == models derived from the tables ===============================================
@@ -383,12 +383,12 @@ def derived_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, model = _tally_and_model(spark, sf_dir)
-    return spark.createDataFrame([(model.signature(u),) for u in kernel.find_consistent(spark, model)], "sig bigint")
+    return kernel.consistent_frame(spark, model).select("sig")
 
 
 def derived_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, model = _tally_and_model(spark, sf_dir)
-    return basins.find_basins(spark, model).frame(spark)
+    return basins.basins_frame(spark, model)
 
 
 def observed_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,17 +445,38 @@ def ring_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ring_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basins.find_basins(spark, chain_model()).frame(spark)
+    return basins.basins_frame(spark, chain_model())
 
 
 def large_ring_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """14,348,907 scenarios; beyond what the SQL check should spend, tested on smaller rings."""
-    return basins.find_basins(spark, chain_model(15)).frame(spark)
+    return basins.basins_frame(spark, chain_model(15))
 
 
 def large_ring_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = chain_model(15)
-    return spark.createDataFrame([(model.signature(u),) for u in kernel.find_consistent(spark, model)], "sig bigint")
+    return kernel.consistent_frame(spark, chain_model(15)).select("sig")
+
+
+def mixed_model() -> Model:
+    """Ten ternary and ten binary descriptors, 60,466,176 scenarios; impacts of -3 to 3, one in three of them other than 0."""
+    import numpy as np
+
+    draw = np.random.default_rng(2024)
+    sizes = (3,) * 10 + (2,) * 10
+    cells = draw.integers(-3, 4, (50, 50)) * (draw.random((50, 50)) < 0.39)
+    heads = np.cumsum((0, *sizes))
+    for a, b in pairwise(heads):
+        cells[a:b, a:b] = 0
+    return Model.build(sizes, cells)
+
+
+def wide_space_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel.consistent_frame(spark, mixed_model()).select("sig")
+
+
+def wide_space_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """60,466,176 scenarios, the size of the largest published timing; beyond what the SQL check should spend."""
+    return basins.basins_frame(spark, mixed_model())
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
@@ -463,15 +484,18 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     kernel_generic_scan, find_basins_global, find_basins_sequential, find_basins_range, basins_merged, basins_ranked, walk_destinations, trace, influence_edges,
     influence_components, fixed_descriptor, product_of_islands, lever_counts, lever_edges, lever_graph_text, sweep_of_a_cell, edited_cell, estimate_shares,
     model_round_trip, solutions_parsed, report_json, derived_impacts, derived_kernel, derived_basins, observed_scenarios, observed_basins, ring_kernel, ring_basins,
-    large_ring_basins, large_ring_kernel,
+    large_ring_basins, large_ring_kernel, wide_space_kernel, wide_space_basins,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    from .more_queries import QUERIES as more
+
+    return {f.__name__: f for f in (*QUERIES, *more)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .more_queries import oracle_sql as more
     from .oracles import oracle_sql as sql
 
-    return sql()
+    return sql() | more()

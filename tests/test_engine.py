@@ -10,7 +10,7 @@ from scenaria.functions import columns as C
 from scenaria.functions import random as R
 from scenaria.model import Model
 from scenaria.operators import basins, batch, estimate, kernel, structure, transitions
-from scenaria.plans.dynamics import Space, cycle_names, resolve, step_signatures
+from scenaria.plans.dynamics import Space, TooMany, resolve, step_signatures
 from scenaria.plans.rules import GLOBAL, SEQUENTIAL, Threshold
 from scenaria.queries import ISLANDS, SMALL, chain_model
 from scenaria.sources import frames
@@ -44,7 +44,7 @@ def test_space_and_bounds_against_naive(seed):
     model = naive.random_model(seed, own=seed % 5 == 0, low=-1 if seed % 3 == 0 else -3, high=1 if seed % 3 == 0 else 3)
     for margin in (0, 2):
         expected = naive.kernel(model, lambda m, u, k=margin: naive.step(m, u, k))
-        assert kernel.branch_and_bound(None, model, margin) == expected
+        assert kernel.branch_and_bound(model, margin) == expected
         space = Space(model)
         found = [int(s) for k in range(-(-model.scenario_count() // space.low)) for s in space.consistent(k, margin)]
         assert [model.inv_signature(s) for s in found] == expected
@@ -55,20 +55,19 @@ def test_space_and_bounds_against_naive(seed):
     for s in every[:: max(1, len(every) // 40)]:
         still, at = naive.end(model, model.inv_signature(int(s)))
         assert ends[s] == (model.signature(at) if still else -1)
-        assert cycle_names(np.array([s]), model)[0] == model.signature(at)
 
 
 def test_special_models():
-    assert len(kernel.branch_and_bound(None, Model.build((2, 3, 2), np.zeros((7, 7))))) == 12
+    assert len(kernel.branch_and_bound(Model.build((2, 3, 2), np.zeros((7, 7))))) == 12
     wide = naive.random_model(3, -5000, 5000)
-    assert Space(wide).type is np.int64 and kernel.branch_and_bound(None, wide) == naive.kernel(wide)
+    assert Space(wide).type is np.int64 and kernel.branch_and_bound(wide) == naive.kernel(wide)
     for sizes in ((1, 3, 2), (2, 1, 1, 3), (1, 1, 4), (3, 1, 2, 1, 2)):
         n = sum(sizes)
         model = Model.build(sizes, np.random.default_rng(n).integers(-3, 4, (n, n)))
-        assert kernel.branch_and_bound(None, model) == naive.kernel(model)
+        assert kernel.branch_and_bound(model) == naive.kernel(model)
     for n in (7, 63, 70):
-        assert kernel.branch_and_bound(None, forcing_chain(n)) == [(0,) * n, (1,) * n]
-    assert kernel.branch_and_bound(None, chain_model(8), budget=10) is None
+        assert kernel.branch_and_bound(forcing_chain(n)) == [(0,) * n, (1,) * n]
+    assert kernel.branch_and_bound(chain_model(8), budget=10) is None
 
 
 def test_generator():
@@ -106,8 +105,33 @@ def test_find_consistent(spark):
 
 def test_spread_search(spark, monkeypatch):
     monkeypatch.setattr(kernel, "ALONE", 50)
+    monkeypatch.setattr(kernel, "SHARE", 40)
     model = chain_model(8)
-    assert kernel.find_consistent(spark, model, algorithm="bnb") == [model.inv_signature(int(r[0])) for r in kernel.sweep(spark, model).orderBy("sig").collect()]
+    expected = [model.inv_signature(int(r[0])) for r in kernel.sweep(spark, model).orderBy("sig").collect()]
+    assert kernel.find_consistent(spark, model, algorithm="bnb") == expected
+    assert kernel.find_consistent(spark, Model.build((2, 3, 2, 2), np.zeros((9, 9))), algorithm="bnb") == list(naive.scenarios(Model.build((2, 3, 2, 2), np.zeros((9, 9)))))
+    with pytest.raises(OverflowError):
+        kernel.find_consistent(spark, forcing_chain(70), node_budget=60)
+
+
+def test_the_budget_is_shared(spark, monkeypatch):
+    """A search that costs n nodes is done with a budget of n and a little, wherever its deep subtrees lie."""
+    monkeypatch.setattr(kernel, "ALONE", 100)
+    for seed in range(3):
+        draw = np.random.default_rng(seed)
+        m = draw.integers(-3, 4, (45, 45)) * (draw.random((45, 45)) < 0.25)
+        model = Model.build((3,) * 15, m)
+        bounds, digits, scores, _ = kernel._begin(model, 0)
+        found, nodes, left = bounds.search(digits, scores)
+        assert nodes > 500 and not left
+        got = kernel.branch_and_bound_frame(spark, model, 0, nodes + 50)
+        assert got is not None and got.count() == sum(map(len, found))
+        assert kernel.branch_and_bound_frame(spark, model, 0, nodes // 2) is None
+
+
+def test_wide_kernel_frame(spark):
+    rows = kernel.consistent_frame(spark, forcing_chain(70)).collect()
+    assert sorted((int(r["sig"]), set(r["digits"])) for r in rows) == [(0, {0}), (2**70 - 1, {1})]
 
 
 def test_basins(spark):
@@ -131,9 +155,37 @@ def test_basins_by_rounds_and_pointers(spark, monkeypatch):
     """The distributed rounds and, when they do not shrink enough, the doubled pointers give what the short way gives."""
     model = chain_model(7)
     short = basins.find_basins(spark, model)
-    monkeypatch.setattr(basins, "FEW", 20)
+    monkeypatch.setattr(basins, "FEW", 3)
     monkeypatch.setattr(basins, "ROUNDS", 3)
-    assert basins.find_basins(spark, model).frame(spark).orderBy("fp").collect() == short.frame(spark).orderBy("fp").collect()
+    assert basins.basins_frame(spark, model).orderBy("fp").collect() == short.frame(spark).orderBy("fp").collect()
+
+
+def test_basins_where_a_task_reaches_too_much(spark, monkeypatch):
+    """States that a task cannot follow to the end go on in rounds; without enough of them, by doubled pointers."""
+    model = chain_model(7)
+    short = basins.basins_frame(spark, model).orderBy("fp").collect()
+    with pytest.raises(TooMany):
+        resolve(np.arange(0, 2187, 7), model, most=400)
+    for rounds in (2, 500):
+        monkeypatch.setattr(basins, "REACHED", 10 if rounds == 2 else 40)
+        monkeypatch.setattr(basins, "ROUNDS", rounds)
+        assert basins.basins_frame(spark, model).orderBy("fp").collect() == short
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    """The same rows whatever the number of shuffle partitions, and of samples' tasks."""
+    model = chain_model(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = set()
+    try:
+        for n in ("1", "3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found = basins.basins_frame(spark, model).orderBy("fp").collect()
+            share = estimate.estimate_basins(spark, SMALL, samples=70_000)
+            seen.add((tuple(map(tuple, found)), share.hits, share.cycle_hits, tuple(kernel.find_consistent(spark, model))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
 
 
 def test_partials(spark, tmp_path):
@@ -162,11 +214,48 @@ def test_estimates(spark):
         with pytest.raises(ValueError):
             estimate.estimate_basins(spark, SMALL, **bad)
     for u in naive.scenarios(SMALL):
-        ends, still = estimate.walk_ends(np.array([u]), SMALL, GLOBAL)
+        ends, still, _ = estimate.walk_ends(np.array([u]), SMALL, GLOBAL)
         good, at = naive.end(SMALL, u)
         assert still[0] == good and (not good or tuple(ends[0]) == at)
 
 
+def brent_steps(model, u, f=naive.step):
+    """Steps of the method, one by one."""
+    anchor, now, steps = u, f(model, u), 1
+    power = stretch = 1
+    while now != anchor:
+        if power == stretch:
+            anchor, power, stretch = now, power * 2, 0
+        now, steps, stretch = f(model, now), steps + 1, stretch + 1
+    return steps + stretch - 1
+
+
+def test_walks_count_steps():
+    for seed in range(12):
+        model = naive.random_model(seed, most=300)
+        every = np.array(list(naive.scenarios(model)))
+        ends, still, steps = estimate.walk_ends(every, model, GLOBAL, names=True)
+        for u, e, s, n in zip(every.tolist(), ends, still, steps):
+            assert (bool(s), tuple(map(int, e))) == naive.end(model, tuple(u)) and n == brent_steps(model, tuple(u)) >= 1
+
+
+def test_lever_frames(spark, monkeypatch):
+    for model, radius in ((SMALL, 2), (naive.random_model(5, most=200), 2), (ISLANDS, 1)):
+        g = transitions.transition_graph(spark, model, radius=radius)
+        nodes = kernel.consistent_frame(spark, model)
+        counts, edges = transitions.lever_frames(spark, model, GLOBAL, nodes, radius)
+        of = {tuple(r["digits"]): (r["returned"], r["moved"], r["destabilized"]) for r in counts.collect()}
+        assert of == {u: (a, b, c) for u, a, b, c, r in zip(g.nodes, g.returned, g.moved, g.destabilized, g.robustness) if not math.isnan(r)}
+        got = sorted((tuple(r["source"]), tuple(r["target"]), r["still"], tuple(map(tuple, r["changes"])), r["steps"]) for r in edges.collect())
+        assert got == sorted((g.nodes[e.source], g.nodes[e.target], g.kinds[e.target] == "attractor", e.changes, e.steps) for e in g.edges)
+        assert all(e.steps >= 1 for e in g.edges)
+    with pytest.raises(ValueError):
+        transitions.lever_frames(spark, SMALL, GLOBAL, nodes, 3)
+    small = transitions.transition_graph(spark, SMALL, radius=2)
+    monkeypatch.setattr(transitions, "HERE", 2)
+    assert transitions.transition_graph(spark, SMALL, radius=2) == small
+
+
 def test_structure(spark):
     s = structure.influence_structure(spark, ISLANDS)
     assert s.components == ((0, 1), (2, 3), (4,)) and s.dials == () and s.forced == ((4, (1,)),)
@@ -218,6 +307,30 @@ def test_batch(spark, tmp_path):
     assert [r["error"] for r in rows if r["error"]] == ["ValueError: no variants: this is not a model file"]
     swept = batch.sweep_impact(spark, SMALL, (0, 0), (2, 3), [-3, 3]).collect()
     assert sorted(r["signature"] for r in swept if r["value"] == 3) == [13, 16, 20, 21]
+    with pytest.raises(Exception, match="not a model file"):
+        batch.run_models(spark, str(tmp_path), on_error="raise").collect()
+
+
+def test_batch_of_large_models(spark, tmp_path, monkeypatch):
+    """Wide models are searched in their task; models that are too large for a task go to the cluster."""
+    from scenaria.sources import to_scw
+
+    (tmp_path / "wide.scw").write_text(to_scw(forcing_chain(70)))
+    (tmp_path / "ring.scw").write_text(to_scw(chain_model(7)))
+    rows = batch.run_models(spark, str(tmp_path)).collect()
+    assert sorted(int(r["signature"]) for r in rows if "wide" in r["path"]) == [0, 2**70 - 1] and not any(r["error"] for r in rows)
+    (tmp_path / "wide.scw").unlink()
+    alone = sorted(map(tuple, batch.run_models(spark, str(tmp_path), "basins").drop("names").collect()))
+    swept = batch.sweep_impact(spark, forcing_chain(70), (0, 0), (1, 0), [0, 1])
+    assert sorted((r["value"], int(r["signature"])) for r in swept.collect() if r["value"] == 1) == [(1, 0), (1, 2**70 - 1)]
+    small = sorted(map(tuple, batch.sweep_impact(spark, chain_model(7), (0, 0), (1, 0), [0, 1]).collect()))
+    monkeypatch.setattr(batch, "analyse_alone", _too_large)
+    assert sorted(map(tuple, batch.run_models(spark, str(tmp_path), "basins").drop("names").collect())) == alone
+    assert sorted(map(tuple, batch.sweep_impact(spark, chain_model(7), (0, 0), (1, 0), [0, 1]).collect())) == small
+
+
+def _too_large(model, basins):
+    raise batch.TooLarge("for this test")
 
 
 def test_frames_and_source(spark, tmp_path):
@@ -229,8 +342,10 @@ def test_frames_and_source(spark, tmp_path):
     frames.register(spark)
     table = spark.read.format("scw").load(str(tmp_path))
     assert table.count() == 100 and table.filter("source = 'WTRD' and source_variant = 'FT' and target_variant = 'RpdGr'").first()["impact"] == 3
-    (tmp_path / "a.sl").write_text('$ x\n" 2 3 2",4\n')
-    assert [r["digits"] for r in frames.read_solutions(spark, str(tmp_path / "a.sl")).collect()] == [[1, 2, 1]]
+    for k in range(3):
+        (tmp_path / f"{k}.sl").write_text(f'$ x\n" 2 3 {k + 1}",4\n\n" 1 1 1",5\n')
+    rows = frames.read_solutions(spark, str(tmp_path / "*.sl")).collect()
+    assert sorted((r["path"][-4:], r["scenario_id"], r["digits"]) for r in rows) == sorted((f"{k}.sl", n, d) for k in range(3) for n, d in ((0, [1, 2, k]), (1, [0, 0, 0])))
 
 
 def test_columns(spark):

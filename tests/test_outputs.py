@@ -2,6 +2,9 @@ import csv
 import io
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from scenaria.operators import basins, estimate, structure, transitions
 from scenaria.queries import ISLANDS, SMALL
 from scenaria.sources import sinks
@@ -56,14 +59,18 @@ def test_reports(spark):
 
 def test_stream_of_shares(spark, tmp_path):
     folder = str(tmp_path / "shares")
-    basins.partial_basins(spark, SMALL, "small", 0, 20).write.parquet(folder)
-    query = merged_stream(spark, folder).writeStream.format("memory").queryName("merged").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    query = None
-    first = {r["fp"]: r["basin_size"] for r in spark.table("merged").collect()}
-    assert sum(first.values()) == 21
-    expected = {r["fp"]: r["basin_size"] for r in basins.find_basins(spark, SMALL, first=0, last=20).frame(spark).collect()}
-    assert first == {k: v for k, v in expected.items()}
+
+    def merged():
+        query = merged_stream(spark, folder).writeStream.format("memory").queryName("merged").outputMode("complete").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return {r["fp"]: r["basin_size"] for r in spark.table("merged").collect()}
+
+    for a, b in ((0, 20), (0, 20), (21, 35)):  # one share is written twice
+        basins.partial_basins(spark, SMALL, "small", a, b).write.mode("append").parquet(folder)
+    assert merged() == {r["fp"]: r["basin_size"] for r in basins.basins_frame(spark, SMALL).collect()}
+    basins.partial_basins(spark, SMALL, "small", 0, 20).withColumn("count", F.col("count") + 1).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="written again with other counts"):
+        merged()
 
 
 def test_csv_sink(spark, tmp_path):
@@ -83,3 +90,36 @@ def test_table_function_and_command_line(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(0, 0, 2), (1, 22, 2), (2, 12, 2), (3, 22, 2)]
     (tmp_path / "a.scw").write_text(to_scw(SMALL))
     assert json.loads(main([str(tmp_path / "a.scw"), "--mode", "basins"]))["cycles"] == 17
+    world = json.loads(main([str(tmp_path / "a.scw"), "--mode", "transitions", "--world", '{"WTRD": "FT", "WSEC": 0, "WECO": "Decl"}']))
+    assert sum(n["kind"] == "world" for n in world["nodes"]) == 1
+    main(["--content", to_scw(SMALL), "--mode", "basins", "--csv", str(tmp_path / "b.csv")])
+    assert rows_of((tmp_path / "b.csv").read_text())[1][:2] == ["1", "20"]
+    for mode in ("estimate", "transitions"):
+        main([str(tmp_path / "a.scw"), "--mode", mode, "--samples", "1000", "--csv", str(tmp_path / "c.csv")])
+        assert len(rows_of((tmp_path / "c.csv").read_text())) > 4
+    for bad in ([], [str(tmp_path / "a.scw"), "--content", "x"], [str(tmp_path / "a.scw"), "--mode", "structure", "--csv", "x"]):
+        with pytest.raises(ValueError):
+            main(bad)
+
+
+def test_json_input():
+    from scenaria.sources import files, to_scw
+
+    assert files.load_model(file_path=None, scw_content=to_scw(SMALL)).same_as(SMALL)
+    said = files.model_to_json(SMALL.with_kernel([(1, 1, 1)]))
+    again = files.model_from_json(said)
+    assert again.same_as(SMALL) and again.kernel == ((1, 1, 1),)
+    assert files.scenario_from_json(SMALL, '["FT", 2, "Decl"]') == (0, 2, 0)
+    assert files.scenario_from_json(SMALL, '{"WSEC": 2, "WTRD": "FT", "WECO": "Decl"}') == (0, 2, 0)
+    assert files.signature_from(str(2**60)) == 2**60 and files.signature_from(13) == 13
+    assert files.scenario_from_json(SMALL, "13") == files.scenario_from_json(SMALL, '"13"') == SMALL.inv_signature(13)
+    for bad in (lambda: files.signature_from("x1"), lambda: files.signature_from(-1), lambda: files.signature_from(True), lambda: files.scenario_from_json(SMALL, "[0]"), lambda: files.scenario_from_json(SMALL, "{"), lambda: files.model_from_json("[]"), lambda: files.load_model(None, None)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_forecast(spark):
+    from scenaria.operators.forecast import forecast_basins
+
+    f = forecast_basins(spark, SMALL)
+    assert f.scenarios == 36 and f.starts_per_second > 0 and f.seconds > 0

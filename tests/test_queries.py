@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from scenaria import oracles, queries
+from scenaria import queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -35,9 +35,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, duck, name):
-    df, sql = queries.queries()[name](spark, DATA), duck.sql(oracles.oracle_sql()[name])
+    df, sql = queries.queries()[name](spark, DATA), duck.sql(queries.oracle_sql()[name])
     assert sorted(df.columns) == sorted(sql.columns)
     assert rows(df.columns, df.collect()) == rows(sql.columns, sql.fetchall())
 
