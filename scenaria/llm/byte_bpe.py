@@ -6,13 +6,15 @@ of bytes tells a member from a stranger. Second tier: other pre-tokens start as
 a linked list of bytes, and a heap hands out the adjacent pair of lowest rank
 until no pair is in the vocabulary.
 
-Pre-tokens are remembered up to a bound. Where no two white-space characters
-meet and none stands at an end of a line, a text can be cut at single spaces
-and line feeds first, since no pre-token goes on past such a place; other texts
-go through the pattern as a whole. Both give the same ids.
-
-Null counts as empty: no ids, digests of nothing. Every row gives one row. No
-other column of the input is read, so extra columns cannot clash.
+Pre-tokens are remembered up to a bound. With the public tokenizers' own pattern,
+where no two white-space characters meet and none stands at an end of a line, a
+text can be cut at single spaces and line feeds first, since no pre-token goes on
+past such a place; other texts, and all under another pattern, go through the
+pattern as a whole. Both give the same ids.
+
+Null counts as empty: no ids, digests of nothing. Very long texts are encoded whole,
+pre-token by pre-token. Every row gives one row, repeated ids and texts too; an empty
+table gives none. No other column of the input is read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -37,6 +39,12 @@ from .word_bpe import Remembered
 _ROUGH = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 
 
+def _own_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 class MinimalPerfectHash:
     """Maps the n given keys one to one onto 0..n-1; other keys anywhere or to -1."""
 
@@ -69,6 +77,7 @@ class ByteBpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
+        self.cuts_at_spaces = pattern == _own_pattern()
         keys = list(self.ranks)
         self.hash = MinimalPerfectHash(keys)
         self.slots: list[tuple[bytes, int]] = [(b"", 0)] * len(keys)
@@ -123,7 +132,7 @@ class ByteBpe:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _ROUGH.search(text):
+        if not self.cuts_at_spaces or _ROUGH.search(text):
             return self._piece_of_any_length(text)
         known, out = self.pieces, []
         for k, line in enumerate(text.split("\n")):
@@ -157,9 +166,7 @@ def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        bpe = codec(vocabulary if "/" in vocabulary else tokenizer_path(vocabulary), pattern or public_tokenizers.PATTERN)
+        bpe = codec(vocabulary if "/" in vocabulary else tokenizer_path(vocabulary), pattern or _own_pattern())
         for batch in batches:
             n, ids_sha, decoded_sha, all_ids = [], [], [], []
             for t in batch.column(1):

@@ -38,7 +38,8 @@ class Rule:
     failed: str
 
 
-#: The place of a rule is its bit; new rules go to the end.
+#: The place of a rule is its bit; new rules go to the end. repeated_lines: of the labelled documents at sf0.1, a
+#: bound of 0.30 fails 0.4 % of the good and 17 % of the others, one of 0.60 none of the good and 7 % of the others.
 RULES = (
     Rule("few_words", f"n_words < {LEAST_WORDS}"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),

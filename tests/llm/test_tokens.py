@@ -12,7 +12,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from scenaria.llm import byte_bpe, packing, token_count
+from scenaria.llm import byte_bpe, packing, pii, quality_rules, secret_scan, token_count, url_filter
 from scenaria.llm.word_bpe import LibraryEncoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -122,6 +122,44 @@ def test_op9_frame(spark, tik):
         assert r["ids_sha256"] == hashlib.sha256(ids).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_another_pattern_is_not_cut_at_spaces():
+    words = r"\w+ \w+|\s|\S"
+    bpe = byte_bpe.ByteBpe(RANKS, words)
+    other = tiktoken.Encoding("other", pat_str=words, mergeable_ranks=bpe.ranks, special_tokens={})
+    for text in ("one two three four", "a b", "x, y z\nq r"):
+        assert bpe.encode(text) == array.array("I", other.encode_ordinary(text)).tobytes()
+
+
+OPERATORS = {
+    "op1": token_count.token_counts,
+    "op2": quality_rules.ledger,
+    "op3": packing.token_pieces,
+    "op4": secret_scan.secret_spans,
+    "op6": lambda d: pii.pseudonymise(d, "k", found_col="found"),
+    "op8": lambda d: url_filter.url_verdicts(d.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "url")),
+    "op9": byte_bpe.byte_bpe,
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_hard_rows(spark, name):
+    """Nulls, empty and long texts, repeated rows and clashing names: every row gives what its text gives."""
+    texts = [None, "", " ", "see http://a.org/x and 10.0.0.1, password=abcdefgh", "word " * 60_000, "z" * 300_000]
+    names = ["token", "host", "tokens", "best", "size", "fail_bits", "w", "spans", "__found", "row"]
+    rows = [(k, t, *[1] * len(names)) for k, t in enumerate(texts)] + [(3, texts[3], *[1] * len(names))] * 3 + [(None, texts[3], *[1] * len(names))] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c}` int" for c in names)).repartition(2)
+    run, of, times = OPERATORS[name], {}, {}
+    for r in rows:
+        times[r[0]] = times.get(r[0], 0) + 1
+    for r in run(docs).collect():
+        of.setdefault(r[0], []).append(repr(tuple(r)[1:]))
+    long = {3: len(of[4]), 5: len(of[5])} if name == "op3" else {}
+    assert {k: len(v) for k, v in of.items()} == times | ({4: long[3], 5: long[5]} if long else {})
+    assert len(set(of[3])) == 1 and set(of[None]) == set(of[3])
+    none = run(docs.limit(0))
+    assert none.count() == 0 and none.columns == run(docs).columns
+
+
 # -- packing -----------------------------------------------------------------------
 
 
