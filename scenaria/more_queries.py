@@ -286,6 +286,39 @@ f AS (SELECT sig FROM t WHERE succ = sig),
 one(sig, descriptor, variant, changed) AS (SELECT t.sig, d.k, v.range, t.sig + (v.range - (t.sig // d.place) % d.n) * d.place FROM t, d, range(10) v WHERE v.range < d.n AND v.range <> (t.sig // d.place) % d.n)"""
 
 
+def ring_scores(before: str, third: str, variant: str) -> str:
+    """SQL: what a variant of a ring's descriptor scores."""
+    look = lambda table, row: f"list_extract({[x for r in table for x in r]}, CAST({row} * 3 + {variant} + 1 AS INTEGER))"
+    return f"({look(q.NEXT, before)} + {look(q.THIRD, third)})"
+
+
+def ring_kernel_sql(links: int) -> str:
+    """Scenarios built link by link: a descriptor is pulled by two others only, and the first three are checked at the end."""
+    fits = lambda c, a, v: f"({c}, {a}, {v}) IN (SELECT (c, a, v) FROM fit)"
+    return f"""WITH RECURSIVE n(x) AS (VALUES (0), (1), (2)),
+score AS (SELECT c.x AS c, a.x AS a, v.x AS v, {ring_scores('c.x', 'a.x', 'v.x')} AS s FROM n c, n a, n v),
+fit AS (SELECT c, a, v FROM (SELECT *, max(s) OVER (PARTITION BY c, a) AS most FROM score) WHERE s = most),
+r(t, sig, a, b, c, x0, x1, x2) AS (SELECT 3, CAST(x.x + 3 * y.x + 9 * z.x AS BIGINT), x.x, y.x, z.x, x.x, y.x, z.x FROM n x, n y, n z
+ UNION ALL SELECT t + 1, sig + fit.v * CAST(pow(3, t) AS BIGINT), b, r.c, fit.v, x0, x1, x2 FROM r JOIN fit ON fit.c = r.c AND fit.a = r.a WHERE t < {links})
+SELECT sig FROM r WHERE t = {links} AND {fits('c', 'a', 'x0')} AND {fits('x0', 'b', 'x1')} AND {fits('x1', 'c', 'x2')}"""
+
+
+def ring_basins_sql(links: int, rounds: int) -> str:
+    """Weights pushed on by the step, which is arithmetic on the signature, until all stand on attractors."""
+    moves = []
+    for third in range(3):
+        for before in range(3):
+            for own in range(3):
+                scores = [q.NEXT[before][v] + q.THIRD[third][v] for v in range(3)]
+                moves.append(own if scores[own] == max(scores) else scores.index(max(scores)))
+    digit = lambda k: f"(sig // {3 ** (k % links)}) % 3"
+    step = " + ".join(f"list_extract({moves}, CAST(9 * ({digit(k - 3)}) + 3 * ({digit(k - 1)}) + {digit(k)} + 1 AS INTEGER)) * {3**k}" for k in range(links))
+    parts = [f"f0 AS (SELECT CAST({step} AS BIGINT) AS sig, count(*) AS w FROM (SELECT range AS sig FROM range({3**links})) GROUP BY 1)"]
+    parts += [f"f{k} AS (SELECT CAST({step} AS BIGINT) AS sig, sum(w) AS w FROM f{k - 1} GROUP BY 1)" for k in range(1, rounds)]
+    return f"""WITH {', '.join(parts)}, z AS (SELECT sig, w, {step} = sig AS still FROM f{rounds - 1})
+SELECT sig AS fp, CAST(w AS BIGINT) AS basin_size FROM z WHERE still UNION ALL SELECT CAST(NULL AS BIGINT), CAST(coalesce(sum(w), 0) AS BIGINT) FROM z WHERE NOT still"""
+
+
 def oracle_sql() -> dict[str, str]:
     balance = (q.BALANCE_SQL, q.OWN_SQL)
     start = q.chain(SMALL, *balance)
@@ -340,6 +373,8 @@ UNION ALL SELECT CAST(descriptor AS INTEGER), CAST(variant AS INTEGER), CAST(e.t
         "basin_lines": f"{ranked} SELECT 0 AS line, concat_ws(chr(9), 'rank', 'signature', 'basin_size', 'basin_pct', 'scenario') AS text UNION ALL SELECT CAST(rank AS INTEGER), concat_ws(chr(9), rank, fp, basin_size, printf('%.4f', 100 * basin_size / 36.0::DOUBLE), {said}) FROM r",
         "basin_csv_lines": f"{ranked} SELECT CAST(rank - 1 AS INTEGER) AS line, concat_ws(',', rank, fp, {comma}, basin_size, CAST(round(100 * basin_size / 36.0::DOUBLE, 4) AS VARCHAR)) AS text FROM r",
         "composed_largest": f"{islands} SELECT fp, basin_size FROM ({_basins()}) WHERE fp IS NOT NULL ORDER BY basin_size DESC, fp LIMIT 10",
+        "large_ring_kernel": ring_kernel_sql(15),
+        "large_ring_basins": ring_basins_sql(15, 48),
         "estimate_shares": f"""WITH h(fp, hits) AS (VALUES {', '.join(f'({a}, {b})' for a, b in hits)}), s AS (SELECT CAST(fp AS BIGINT) AS fp, CAST(hits AS BIGINT) AS hits, hits / 50000.0::DOUBLE AS share, {z!r}::DOUBLE * {z!r}::DOUBLE / 50000 AS w FROM h),
 c AS (SELECT *, (share + w / 2) / (1 + w) AS middle, {z!r}::DOUBLE * sqrt(share * (1 - share) / 50000 + w / (4 * 50000)) / (1 + w) AS half FROM s)
 SELECT fp, hits, round(share, 6) AS share, round(greatest(0.0::DOUBLE, middle - half), 6) AS ci_low, round(least(1.0::DOUBLE, middle + half), 6) AS ci_high, round(share * 36, 6) AS size_estimate FROM c""",

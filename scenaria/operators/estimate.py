@@ -19,7 +19,7 @@ from ..functions.random import BLOCK, SEED, block_digits, wilson, z_for
 from ..model import Model, signature_order
 from ..plans.rules import GLOBAL, Rule, margin_of
 from ..session import ship
-from .kernel import find_consistent
+from .kernel import consistent_frame, find_consistent
 
 
 @dataclass(frozen=True)
@@ -46,9 +46,7 @@ class BasinEstimate:
         """One row per attractor and one (digits null) for cycles; intervals are worked out by Spark."""
         rows = [(list(u), h) for u, h in zip(self.fixed_points, self.hits, strict=True)]
         base = spark.createDataFrame([*rows, (None, self.cycle_hits)], "digits array<int>, hits bigint")
-        low, high = wilson_columns(F.col("hits"), F.lit(self.samples), z_for(self.confidence))
-        share = F.col("hits") / F.lit(self.samples)
-        return base.select("digits", "hits", share.alias("share"), low.alias("ci_low"), high.alias("ci_high"), (share * F.lit(float(self.scenario_count))).alias("size_estimate"))
+        return _framed(base, self.samples, self.confidence, self.scenario_count)
 
 
 def walk_ends(digits: np.ndarray, model: Model, rule: Rule, names: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,12 +95,10 @@ def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return apart.any(axis=1) & (a[each, at] < b[each, at])
 
 
-def estimate_basins(spark: SparkSession, model: Model, rule: Rule = GLOBAL, samples: int = 1_000_000, seed: int = SEED, confidence: float = 0.95, kernel: Sequence[Sequence[int]] | None = None) -> BasinEstimate:
-    """The kernel is registered first, so attractors without a hit appear with their upper bound."""
+def sampled_hits(spark: SparkSession, model: Model, rule: Rule, samples: int, seed: int) -> DataFrame:
+    """digits (null: cycles), hits of the attractors that samples reach; a row for each task's attractors is all that is shuffled."""
     if samples < 1:
         raise ValueError("samples must be at least 1")
-    z, count = z_for(confidence), model.scenario_count()
-    known = resolve_kernel(spark, model, rule, kernel)
     blocks = -(-samples // BLOCK)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +111,28 @@ def estimate_basins(spark: SparkSession, model: Model, rule: Rule = GLOBAL, samp
                 hits = np.bincount(back.ravel(), weight[still], len(hit)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([*hit.tolist(), None], pa.list_(pa.int32())), pa.array([*hits.tolist(), int(weight[~still].sum())], pa.int64())], ["digits", "hits"])
 
-    tally = ship(spark).range(0, blocks, 1, min(blocks, 16 * spark.sparkContext.defaultParallelism)).mapInArrow(draw, "digits array<int>, hits bigint").groupBy("digits").agg(F.sum("hits").alias("hits"))
+    return ship(spark).range(0, blocks, 1, min(blocks, 16 * spark.sparkContext.defaultParallelism)).mapInArrow(draw, "digits array<int>, hits bigint").groupBy("digits").agg(F.sum("hits").alias("hits"))
+
+
+def _framed(hits: DataFrame, samples: int, confidence: float, scenarios: int) -> DataFrame:
+    low, high = wilson_columns(F.col("hits"), F.lit(samples), z_for(confidence))
+    share = F.col("hits") / F.lit(samples)
+    return hits.select("digits", "hits", share.alias("share"), low.alias("ci_low"), high.alias("ci_high"), (share * F.lit(float(scenarios))).alias("size_estimate"))
+
+
+def estimate_frame(spark: SparkSession, model: Model, rule: Rule = GLOBAL, samples: int = 1_000_000, seed: int = SEED, confidence: float = 0.95) -> DataFrame:
+    """One row per attractor, those of the kernel without a hit too, and one (digits null) for cycles, however many there are."""
+    hits = sampled_hits(spark, model, rule, samples, seed).union(spark.createDataFrame([(None, 0)], "digits array<int>, hits bigint"))
+    if margin_of(rule) is not None:
+        hits = hits.union(consistent_frame(spark, model, rule).select("digits", F.lit(0).cast("bigint").alias("hits")))
+    return _framed(hits.groupBy("digits").agg(F.sum("hits").alias("hits")), samples, confidence, model.scenario_count())
+
+
+def estimate_basins(spark: SparkSession, model: Model, rule: Rule = GLOBAL, samples: int = 1_000_000, seed: int = SEED, confidence: float = 0.95, kernel: Sequence[Sequence[int]] | None = None) -> BasinEstimate:
+    """The kernel is registered first, so attractors without a hit appear with their upper bound."""
+    z, count = z_for(confidence), model.scenario_count()
+    known = resolve_kernel(spark, model, rule, kernel)
+    tally = sampled_hits(spark, model, rule, samples, seed)
     found = {None if r["digits"] is None else tuple(r["digits"]): r["hits"] for r in tally.collect()}
     cycles = found.pop(None, 0)
     for u in known or ():

@@ -292,7 +292,7 @@ def edited_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def estimate_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled basin shares with intervals; what the pinned generator hits is pinned too."""
-    e = estimate.estimate_basins(spark, SMALL, samples=50_000).frame(spark)
+    e = estimate.estimate_frame(spark, SMALL, samples=50_000)
     rounded = [F.round(c, 6).alias(c) for c in ("share", "ci_low", "ci_high", "size_estimate")]
     return e.select(F.when(F.col("digits").isNotNull(), C.signature(F.col("digits"), SMALL)).alias("fp"), "hits", *rounded)
 
@@ -426,13 +426,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # == a chain of blocks: a space of middling size ===================================
 
 
+#: What a descriptor of the chain adds to the next one, and to the third after it. Fixed values.
+NEXT, THIRD = [[2, -1, 0], [-1, 1, 1], [0, 1, -1]], [[0, 1, -1], [1, -1, 0], [-1, 0, 2]]
+
+
 def chain_model(links: int = 8) -> Model:
-    """Ternary descriptors in a ring, each pulled by the one before it; 3^links scenarios."""
-    block = [[2, -1, 0], [-1, 1, 1], [0, 1, -1]]
-    pull = [[0, 1, -1], [1, -1, 0], [-1, 0, 2]]
+    """Ternary descriptors in a ring, each pulled by the one before it and the third before it; 3^links scenarios."""
     cells = [[0] * (3 * links) for _ in range(3 * links)]
     for k in range(links):
-        for away, part in ((1, block), (3, pull)):
+        for away, part in ((1, NEXT), (3, THIRD)):
             to = (k + away) % links
             for i in range(3):
                 for j in range(3):
@@ -449,7 +451,7 @@ def ring_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def large_ring_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """14,348,907 scenarios; beyond what the SQL check should spend, tested on smaller rings."""
+    """14,348,907 scenarios."""
     return basins.basins_frame(spark, chain_model(15))
 
 

@@ -210,6 +210,8 @@ def test_estimates(spark):
     assert sum(again.hits) + again.cycle_hits == 70_000
     row = est.frame(spark).filter("hits = 1369").first()
     assert math.isclose(row["ci_low"], est.ci_low[0]) and math.isclose(row["size_estimate"], est.size_estimates[0])
+    frame = {r["digits"] and tuple(r["digits"]): r["hits"] for r in estimate.estimate_frame(spark, SMALL, samples=20).collect()}
+    assert frame == dict(zip(few.fixed_points, few.hits)) | {None: few.cycle_hits}
     for bad in ({"samples": 0}, {"confidence": 1.0}, {"kernel": [[0, 0]]}, {"kernel": [[0, 0, 0]]}):
         with pytest.raises(ValueError):
             estimate.estimate_basins(spark, SMALL, **bad)
