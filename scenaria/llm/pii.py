@@ -89,8 +89,10 @@ NATIVE = r"(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 GROUP = rf"(?:\d{{2,4}}|[ .-](?!{OTHER})\d{{2,4}})"
 MORE = rf"(?:\d{{2,4}}|[ .-](?!{OTHER}|{NATIVE})\d{{2,4}})"
 PHONE = rf"(?<![\d+])(?:(?:{COMPLETE})(?!\d)|\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}}){GROUP}{{2}}{MORE}{{0,2}}|{NATIVE})(?!\d)"
-#: An address goes first; a number does not end within one.
-FOUND = rf"{EMAIL}|(?:{'|'.join((IBAN, IP, DATE, SSN, PHONE, CARD))})(?![A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++\.[A-Za-z0-9-])"
+#: A number does not end within an address. Most places are ruled out by what a number begins with.
+NUMBER = rf"(?=[0-9+(]|[A-Z]{{2}}\d)(?:{'|'.join((IBAN, IP, DATE, SSN, PHONE, CARD))})(?![A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++\.[A-Za-z0-9-])"
+#: An address goes first.
+FOUND = rf"{EMAIL}|{NUMBER}"
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 #: The country codes of one and two digits; all others have three.
 CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -251,31 +253,36 @@ def email(x: Column, key: str) -> Column:
 
 
 def date(x: Column, key: str) -> Column:
-    """The parts are read by their separators, moved as a day, and written with as many digits at least."""
-    part = F.split(x, r"[-/.]")
-    first = F.length(part[0]) == 4
-    dotted = F.contains(x, F.lit("."))
-    number = lambda k: part[k].cast("int")
-    day_first = dotted | (~first & (number(0) > 12))
-    y = F.when(first, number(0)).otherwise(number(2))
-    m = F.when(first | day_first, number(1)).otherwise(number(0))
-    d = F.when(first, number(2)).when(day_first, number(0)).otherwise(number(1))
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    valid = (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1) & (d <= longest)
-    day = F.make_date(F.when(valid, y).otherwise(2000), F.when(valid, m).otherwise(1), F.when(valid, d).otherwise(1))
-    windowed = y.between(1901, 2096)
-    begin = F.when(valid & windowed, F.make_date(1901 + F.floor((y - 1901) / 28).cast("int") * 28, F.lit(1), F.lit(1))).otherwise(F.make_date(F.when(valid, y).otherwise(2000), F.lit(1), F.lit(1)))
-    place = F.datediff(day, begin)
-    moved = F.when(windowed, permute_number(place, 21, 487, key, "date")).when(leap, permute_number(place, 6, 61, key, "date")).otherwise(permute_number(place, 5, 73, key, "date"))
-    pad = lambda n, k: F.when(F.length(part[k]) == 2, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
-
-    def spelt(t: Column) -> Column:
-        yy, mm, dd = F.lpad(F.year(t).cast("string"), 4, "0"), F.month(t), F.dayofmonth(t)
-        mark = F.substring(F.regexp_extract(x, r"[-/.]", 0), 1, 1)
-        return F.when(first, F.concat(yy, mark, pad(mm, 1), mark, pad(dd, 2))).when(day_first, F.concat(pad(dd, 0), mark, pad(mm, 1), mark, yy)).otherwise(F.concat(pad(mm, 0), mark, pad(dd, 1), mark, yy))
-
-    return F.when(valid, let(F.date_add(begin, moved.cast("int")), spelt))
+    """The parts are read by their separators, moved as a day, and written with as many digits at least. Each step is bound once, so the plan stays small."""
+
+    def read(p: Column) -> Column:
+        first, number = F.length(p[0]) == 4, lambda k: p[k].cast("int")
+        day_first = F.contains(x, F.lit(".")) | (~first & (number(0) > 12))
+        order = F.when(first, F.array(*map(F.lit, (0, 1, 2)))).when(day_first, F.array(*map(F.lit, (2, 1, 0)))).otherwise(F.array(*map(F.lit, (2, 0, 1))))
+        return let(order, lambda o: F.struct(p.alias("part"), o.alias("order"), *(F.get(p, F.get(o, F.lit(k))).cast("int").alias(name) for k, name in enumerate("ymd"))))
+
+    def checked(r: Column) -> Column:
+        leap = ((r["y"] % 4 == 0) & (r["y"] % 100 != 0)) | (r["y"] % 400 == 0)
+        longest = F.when(r["m"] == 2, F.when(leap, 29).otherwise(28)).when(r["m"].isin(4, 6, 9, 11), 30).otherwise(31)
+        valid = (r["y"] >= 1) & (r["m"] >= 1) & (r["m"] <= 12) & (r["d"] >= 1) & (r["d"] <= longest)
+        return F.when(valid, let(F.struct(r["y"].between(1901, 2096).alias("windowed"), leap.alias("leap")), lambda c: placed(r, c)))
+
+    def placed(r: Column, c: Column) -> Column:
+        begin = F.make_date(F.when(c["windowed"], 1901 + F.floor((r["y"] - 1901) / 28).cast("int") * 28).otherwise(r["y"]), F.lit(1), F.lit(1))
+        return let(begin, lambda b: let(F.datediff(F.make_date(r["y"], r["m"], r["d"]), b), lambda place: let(F.date_add(b, moved(place, c).cast("int")), lambda t: spelt(t, r))))
+
+    def moved(place: Column, c: Column) -> Column:
+        return F.when(c["windowed"], permute_number(place, 21, 487, key, "date")).when(c["leap"], permute_number(place, 6, 61, key, "date")).otherwise(permute_number(place, 5, 73, key, "date"))
+
+    def spelt(t: Column, r: Column) -> Column:
+        numbers = F.array(F.year(t), F.month(t), F.dayofmonth(t))
+        # as many digits as the part had, four for a year
+        size = lambda k: F.when(F.get(r["order"], F.lit(0)) == k, 4).when(F.length(r["part"][k]) == 2, 2).otherwise(1)
+        said = lambda k: let(F.get(numbers, F.array_position(r["order"], k).cast("int") - 1).cast("string"), lambda n: F.lpad(n, F.greatest(F.length(n), size(k)), "0"))
+        mark = F.regexp_extract(x, r"[-/.]", 0)
+        return F.concat(said(0), mark, said(1), mark, said(2))
+
+    return let(F.split(x, r"[-/.]"), lambda p: let(read(p), checked))
 
 
 def kind_of(x: Column) -> Column:
@@ -289,12 +296,20 @@ def _replaced(text: Column, pseudonym: Callable[[Column, Column], Column]) -> Co
     def one(m: Column) -> Column:
         return let(kind_of(m), lambda k: let(pseudonym(m, k), lambda new: F.struct(F.coalesce(new, m).alias("new"), F.when(new.isNotNull(), k).alias("kind"))))
 
+    # without an @ there is no address to look for
+    mail = F.contains(text, F.lit("@"))
+
     def put(found: Column) -> Column:
-        between = F.split(text, FOUND, -1)
+        between = F.when(mail, F.split(text, FOUND, -1)).otherwise(F.split(text, NUMBER, -1))
         joined = F.array_join(F.zip_with(between, found, lambda s, f: F.concat(s, F.coalesce(f["new"], F.lit("")))), "")
         return F.struct(joined.alias("text"), F.filter(F.transform(found, lambda f: f["kind"]), lambda k: k.isNotNull()).alias("kinds"))
 
-    return let(F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), one), put)
+    matches = F.when(mail, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
+
+    def replaced(m: Column) -> Column:
+        return F.when(F.size(m) > 0, let(F.transform(m, one), put)).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds")))
+
+    return let(matches, replaced)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
@@ -308,11 +323,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
             out = F.when(k == name, f(m, key)).otherwise(out)
         return out
 
-    def whole(text: Column) -> Column:
-        return F.when(text.rlike(FOUND), _replaced(text, pseudonym)).otherwise(F.struct(text.alias("text"), nothing.alias("kinds")))
-
     text = F.col(f"`{text_col}`")
-    done = F.when(text.isNotNull(), let(text.cast("string"), whole))
+    done = F.when(text.isNotNull(), let(text.cast("string"), lambda t: _replaced(t, pseudonym)))
     name = "__found"
     while name in docs.columns:
         name += "_"
