@@ -61,11 +61,14 @@ class WordVocabulary:
         return [x for x, _ in self.split.pre_tokenize_str(piece)]
 
     def normalise(self, text: str) -> str:
-        """NFC and lower case; beyond Latin letters by the library, whose tables of newer characters may differ."""
+        """NFC, then lower case one character at a time (no rule for a final sigma).
+
+        By the library where a character is so new that its tables and Python's may differ.
+        """
         if text.isascii():
             return text.lower()
-        if max(text) < "\u0250":
-            return unicodedata.normalize("NFC", text).lower()
+        if all(map(_settled.__getitem__, set(text))):
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.normaliser.normalize_str(text)
 
     def spell(self, pre_token: str) -> list[str]:
@@ -122,6 +125,14 @@ class Remembered(dict):
         return value
 
 
+def _in_all_tables(c: str) -> bool:
+    """Whether a character has been there since Unicode 3.2, what it composes to and its class never change then; or is a symbol, which composes with nothing."""
+    return unicodedata.ucd_3_2_0.category(c) != "Cn" or unicodedata.category(c) == "So"
+
+
+_settled = Remembered(_in_all_tables, 200_000)
+
+
 def runs(vocabulary: WordVocabulary, text: str) -> Iterator[tuple[int | None, str]]:
     """The text between special strings as (None, text), and these as (id, "")."""
     if "<|" not in text:
