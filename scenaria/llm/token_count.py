@@ -134,10 +134,11 @@ class Transducer:
     def compile(self, state: int, symbol: str) -> tuple[int, int]:
         """The transition from state on symbol: next state and tokens emitted."""
         grown = [(to, left, behind) for node, left, behind in self.live[state] if (to := self.tree.get((node, symbol))) is not None]
-        ends = [(self.token_at[node], behind + 1) for node, left, behind in grown if node in self.token_at and self.fits(left, self.token_at[node])]
-        if len(ends) != 1:
-            raise ValueError(f"the vocabulary does not give one encoding at {symbol!r}: {ends}")
-        last, emitted = ends[0]
+        # one encoding ends here, so the first that fits is the only one
+        end = next(((self.token_at[node], behind + 1) for node, left, behind in grown if node in self.token_at and self.fits(left, self.token_at[node])), None)
+        if end is None:
+            raise ValueError(f"the vocabulary has no encoding that ends at {symbol!r}")
+        last, emitted = end
         if symbol.endswith(self.vocabulary.end) and len(symbol) > 1:
             move = (START, emitted)
         else:
