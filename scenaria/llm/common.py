@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, materialise, shared_dir
 
-__all__ = ["WHITESPACE", "Scratch", "let", "materialise", "shared_dir", "spread_join", "text_of", "tokenizer_path"]
+__all__ = ["WHITESPACE", "Scratch", "let", "materialise", "shared_dir", "spread_join", "text_of", "thrifty", "tokenizer_path"]
 
 #: The six characters `[\x20\x09-\x0D]` that count as white space in the contracts.
 WHITESPACE = " \t\n\v\f\r"
@@ -36,6 +38,46 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: In a Python worker: how to drop what the operator that was served last remembers.
+_last: list[Callable[[], object]] = []
+
+
+def take_over(forget: Callable[[], object]) -> None:
+    """What another operator remembers in this worker is dropped."""
+    if _last and _last[0] is not forget:
+        _last[0]()
+    _last[:] = [forget]
+
+
+def give_back() -> None:
+    """Freed memory that the allocators of Arrow and C hold goes back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def thrifty(work: Callable[[Iterator], Iterator], forget: Callable[[], object]) -> Callable[[Iterator], Iterator]:
+    """work on the batches of a task, such that the worker does not keep the memory of every task it ever ran.
+
+    A worker serves one operator after the other, and what it holds counts against
+    its executor also while it waits. forget: a function of a module, which drops what
+    work remembers from task to task; the next task of the same operator finds it still.
+    """
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        take_over(forget)
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 #: A key with fewer rows is never taken for a hot one.
 LEAST_HOT = 1024
 #: Hot keys that are broadcast, at most (a few numbers each).

@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_bound, spread_join
+from .common import Scratch, hot_bound, spread_join, thrifty
 from .word_bpe import Remembered
 
 WORDS = 5
@@ -71,6 +71,10 @@ _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
 
+def forget() -> None:
+    _hash.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them (the finaliser of splitmix64)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -170,7 +174,7 @@ def _signatures(rows: DataFrame, least: float) -> DataFrame:
                     keys.append(keys_of(s, least).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
 
-    return rows.mapInArrow(sign, "node binary, n int, keys array<bigint>")
+    return rows.mapInArrow(thrifty(sign, forget), "node binary, n int, keys array<bigint>")
 
 
 def _texts(scratch: Scratch, nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -203,7 +207,7 @@ def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, least: float
                 good.append(similarity(shingles(x), last[1], least) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return scratch.write(both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a binary, b binary"))
+    return scratch.write(both.select("a", "b", "text_a", "text_b").mapInArrow(thrifty(align, forget), "a binary, b binary"))
 
 
 def _spelt(texts: DataFrame) -> DataFrame:
@@ -215,7 +219,7 @@ def _spelt(texts: DataFrame) -> DataFrame:
                 s = shingles(t.as_py()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(np.full(len(s), num), pa.int64())], ["shingle", "num"])
 
-    return texts.select("num", "text").mapInArrow(spell, "shingle bigint, num bigint")
+    return texts.select("num", "text").mapInArrow(thrifty(spell, forget), "shingle bigint, num bigint")
 
 
 def prefix_pairs(scratch: Scratch, spelt: DataFrame, nodes: DataFrame, least: float) -> DataFrame:

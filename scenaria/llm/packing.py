@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, tokenizer_path
+from .common import materialise, thrifty, tokenizer_path
 from .word_bpe import LibraryEncoder
 
 SEQUENCE = 4096
@@ -44,6 +44,10 @@ def _encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def forget() -> None:
+    _encoder.cache_clear()
+
+
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document in pieces of at most `length` ids."""
     kind = docs.schema[id_col].dataType
@@ -65,7 +69,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     total.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return rows.mapInArrow(cut, f"doc_id {kind.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return rows.mapInArrow(thrifty(cut, forget), f"doc_id {kind.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
